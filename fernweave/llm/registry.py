@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from fernweave.llm import exact_dedup, mixing
+from fernweave.llm import exact_dedup, mixing, secrets, tokens
 
 
 def queries() -> dict:
     return {
+        "op3_secret_scan": secrets.op3_secret_scan,
+        "op6_token_counts": tokens.op6_token_counts,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.OP7_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op3_secret_scan": secrets.OP3_SQL, "op7_mix_sources": mixing.OP7_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
