@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernweave.llm.common import stored, table
+from fernweave.llm.common import lookup, stored, table
 
 #: fixed weights by rank of the source, repeating
 WEIGHTS = (5, 2, 1)
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...]
     targets = targets.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     targets = targets.withColumn("epochs", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
     targets = targets.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("cuts", F.ceil(F.sqrt("n_docs")))
-    joined = rows.join(targets.drop("source"), "skey")
+    joined = lookup(rows, "skey", stored(targets.drop("source"), "mix-targets"), F.col("n_docs"), rows.count())
     # any rising function of the key cuts a source into ranges; this one is even where weights are alike
     joined = joined.withColumn("cut", F.floor(F.col("cuts") * (1 - F.exp(-F.col("key") * 0.8))).cast("long"))
     cuts = joined.groupBy("skey", "cut").agg(F.sum("size").alias("cut_size"))
