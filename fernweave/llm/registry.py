@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernweave.llm import exact_dedup, mixing, secrets, tokens
+from fernweave.llm import exact_dedup, mixing, secrets, simhash, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
