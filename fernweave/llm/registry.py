@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fernweave.llm import exact_dedup, mixing, secrets, simhash, tokens
+from fernweave.llm import exact_dedup, mixing, quality, secrets, simhash, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_quality_classifier": quality.op4_quality_classifier,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
