@@ -41,14 +41,12 @@ LABELLERS = (
     ("shouting", 0.15, 0.50, 4),
     ("ends", 0.35, 1.00, 20),
     ("bangs", 0.01, 0.20, 8),
-    ("non_letters", 0.12, 0.25, 20),
 )
 
 
 def _measures(data: bytes, words: list[bytes]) -> tuple[float, ...]:
     n, size = max(1, len(words)), max(1, len(data))
     letters = len(data) - len(data.translate(None, _LETTERS))
-    solid = max(1, sum(map(len, words)))
     return (
         sum(map(bytes.__eq__, words[1:], words)) / n,
         (size - len(data.translate(None, _SYMBOLS))) / size if data else 0.0,
@@ -56,7 +54,6 @@ def _measures(data: bytes, words: list[bytes]) -> tuple[float, ...]:
         (len(data) - len(data.translate(None, _UPPER))) / max(1, letters),
         (len(data) - len(data.translate(None, _ENDS))) / n,
         data.count(b"!!") / n,
-        1 - letters / solid if words else 0.0,
     )
 
 
@@ -99,16 +96,24 @@ def features(words: list[bytes], shapes: Shapes) -> tuple[np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Labellers:
-    """Junk share, and for each labeller and class (good, junk) the odds of its votes (none, good, junk)."""
+    """Shares of the classes (good, then a kind of junk for each labeller), and by labeller and class the odds of its votes.
 
-    junk: float
+    Votes are none, good and junk; not to vote tells nothing, its odds are 1 in any class.
+    """
+
+    share: np.ndarray
     table: np.ndarray
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        log = np.log([[1 - self.junk], [self.junk]]) + np.zeros((2, len(patterns)))
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        log = np.log(self.share)[:, None] + np.zeros((len(self.share), len(patterns)))
         for k, vote in enumerate(_digits(patterns)):
             log += np.log(self.table[k][:, vote])
-        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
+        odds = np.exp(log - log.max(0))
+        return odds / odds.sum(0)
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of junk."""
+        return 1 - self.classes(patterns)[0]
 
 
 def _digits(patterns: np.ndarray) -> list[np.ndarray]:
@@ -116,23 +121,28 @@ def _digits(patterns: np.ndarray) -> list[np.ndarray]:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Labellers:
-    """Expectation-maximisation over counted vote patterns; smoothed, so nothing is ever certain."""
+    """Expectation-maximisation over counted vote patterns; smoothed, so nothing is ever certain.
+
+    Labellers see different kinds of junk, so each starts a class of its own: the documents
+    that it calls junk. What none calls junk starts as good.
+    """
     digits = _digits(patterns)
-    junk_votes, good_votes = sum((d == 2) * 1.0 for d in digits), sum((d == 1) * 1.0 for d in digits)
-    post = np.clip((junk_votes * 3 + 0.1) / (junk_votes * 3 + good_votes + 1), 0.02, 0.98)  # one junk vote in three tips it
-    model = Labellers(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
+    called = np.array([d == 2 for d in digits], float)
+    post = np.vstack([called.sum(0) == 0, called]) * 0.98 + 0.02 / (len(digits) + 1)
+    post /= post.sum(0)
     for _ in range(rounds):
-        table_ = np.empty((len(LABELLERS), 2, 3))
+        weight = counts * post
+        table_ = np.ones((len(digits), len(post), 3))
         for k, vote in enumerate(digits):
-            for c, weight in enumerate((counts * (1 - post), counts * post)):
-                seen = np.bincount(vote, weight, 3) + 0.5
-                table_[k, c] = seen / seen.sum()
-        share = float((counts * post).sum() + 0.5) / float(counts.sum() + 1)
-        model = Labellers(min(max(share, 1e-3), 0.9), table_)
-        new = model.posterior(patterns)
-        if np.abs(new - post).max() < 1e-7:
+            for c in range(len(post)):
+                seen = np.bincount(vote, weight[c], 3)[1:] + 0.5
+                table_[k, c, 1:] = seen / seen.sum()
+        share = weight.sum(1) + 0.5
+        model = Labellers(share / share.sum(), table_)
+        new = model.classes(patterns)
+        moved, post = np.abs(new - post).max(initial=0), new
+        if moved < 1e-7:
             break
-        post = new
     return model
 
 

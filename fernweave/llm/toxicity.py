@@ -25,7 +25,7 @@ FIT_TOXIC, FIT_CLEAN = 10_000, 30_000
 #: word features kept at most, the least toxic documents of one, and its least log-odds
 FEATURES, LEAST_DOCUMENTS, LEAST_ODDS = 8192, 3, 1.0
 DIMS = 1 << 26
-STEM = 5
+STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
 
@@ -34,13 +34,12 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Hashes of the bare lower-case word, of its first and of its last letters."""
+    """Hashes of the bare lower-case word, of stems of a few lengths."""
     bare = _EDGES.sub("", word.decode("utf-8", "replace").lower())
     if not bare:
         return ()
     kinds = [f"w:{bare}"]
-    if len(bare) > STEM:
-        kinds += [f"p:{bare[:STEM]}", f"s:{bare[-STEM:]}"]
+    kinds += [f"p:{bare[:n]}" for n in STEMS if len(bare) > n]
     return tuple(zlib.crc32(k.encode()) % DIMS for k in kinds)
 
 
@@ -86,7 +85,7 @@ class Model:
         return 1 - (1 - self.leak) * float(np.prod([1 - s for s in sentences]))
 
 
-def fit(bags: list[list[tuple[int, ...]]], toxic: np.ndarray, start: np.ndarray, rounds: int = 400, decay: float = 3e-3) -> tuple[np.ndarray, float, float]:
+def fit(bags: list[list[tuple[int, ...]]], toxic: np.ndarray, start: np.ndarray, rounds: int = 400, decay: float = 1e-3) -> tuple[np.ndarray, float, float]:
     """Gradient ascent on the likelihood of document labels under the leaky noisy-or."""
     weight, bias, n = start.copy(), -3.0, len(bags)
     empty = np.array([not b for b in bags], bool)
