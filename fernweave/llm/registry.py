@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fernweave.llm import decontam, exact_dedup, mixing, quality, secrets, simhash, tokens, toxicity
+from fernweave.llm import binary, decontam, exact_dedup, mixing, quality, secrets, simhash, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
+        "op2_token_binary": binary.op2_token_binary,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_toxicity": toxicity.op5_toxicity,

@@ -14,6 +14,7 @@ normal form and case are plain, or with the start of a special token, goes to th
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,8 +26,8 @@ from fernweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: pieces remembered by a worker, and the bytes of the longest of them
-CACHE_PIECES, CACHE_BYTES = 400_000, 48
+#: pieces and pre-tokens remembered by a worker, and the length of the longest of them
+CACHE_PIECES, CACHE_PRETOKENS, CACHE_BYTES = 400_000, 500_000, 48
 #: fixed values: a space becomes this character in byte-level vocabularies, and words end so
 WORD_END = "</w>"
 
@@ -81,29 +82,53 @@ def _pretokens(text: str) -> list[str] | None:
 
 
 class Pieces(dict):
-    """Bounded memo from a piece's bytes to its token ids (counts_only: to their number)."""
+    """Bounded memo from a piece's bytes to its token ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, counts_only: bool = False) -> None:
+    Pre-tokens have a memo of their own, since the same ones come with many marks. Both are kept for
+    as long as the Python worker lives and are emptied when full.
+    """
+
+    def __init__(self, path: str) -> None:
         super().__init__()
-        self.tokenizer, self.known, self.counts_only = load(path), proven(path), counts_only
+        self.tokenizer = load(path)
+        self.known = {text: _packed([number]) for text, number in proven(path).items()}
+        self.merged: dict[str, bytes] = {}
+
+    def _pretoken(self, part: str) -> bytes:
+        made = self.known.get(part) or self.merged.get(part)
+        if made is None:
+            made = _packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
+            if len(part) <= CACHE_BYTES:
+                if len(self.merged) >= CACHE_PRETOKENS:
+                    self.merged.clear()
+                self.merged[part] = made
+        return made
 
-    def __missing__(self, piece: bytes):
+    def __missing__(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8", "replace")
         parts = _pretokens(text)
-        ids = []
         if parts is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            made = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
-            for part in parts:
-                whole = self.known.get(part)
-                ids += [whole] if whole is not None else self.tokenizer.encode(part, add_special_tokens=False).ids
-        made = len(ids) if self.counts_only else ids
+            made = b"".join(map(self._pretoken, parts))
         if len(piece) <= CACHE_BYTES:
             if len(self) >= CACHE_PIECES:
                 self.clear()
             self[piece] = made
         return made
 
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@cache
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
 
 def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs (doc_id, text).
@@ -115,13 +140,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, counts_only=True)
+        memo = pieces(path)
         for batch in batches:
             size, count = [], []
             for value in batch.column(1):
                 data = value.as_py() or b""
                 size.append(len(data))
-                count.append(sum(map(pieces.__getitem__, data.split())))
+                count.append(len(memo.ids(data)) // 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(count, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
