@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,10 +72,9 @@ def lookup(rows: DataFrame, by: str, facts: DataFrame, size: Column, total: int)
     return rows.join(F.broadcast(hot), by).unionByName(rest.join(cold, by))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, UPPER, LOWER)
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import stored, table
+from fernweave.llm.common import fresh, stored, table
 
 WIDTH = 5
 #: a match has this share of an item's windows, or a run of RUN words
@@ -114,5 +114,12 @@ def contamination(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+    """The rows of docs that match no item."""
+    key = fresh(docs, "leaked_id")
+    found = matches(docs.select(F.col("doc_id").cast("long"), "text"), items, **settings).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(stored(found, "leaks"), docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

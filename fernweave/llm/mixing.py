@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernweave.llm.common import lookup, stored, table
+from fernweave.llm.common import fresh, lookup, stored, table
 
 #: fixed weights by rank of the source, repeating
 WEIGHTS = (5, 2, 1)
@@ -118,10 +118,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken. doc_id must tell rows apart."""
-    copies = mix(docs, **settings).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies")
+    """The mix itself: rows of docs, each as often as it is taken, with docs' columns.
+
+    doc_id tells documents apart: of rows that share one, each is taken as often as the one
+    taken most.
+    """
+    key, number = fresh(docs, "taken_id"), fresh(docs, "taken_copies")
+    copies = mix(docs, **settings).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(number)).filter(F.col(number) > 0)
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(key)))
+    copied = joined.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(number))))
+    return copied.select(*docs.columns)
 
 
 _WS = r"[^\x20\x09-\x0D]+"

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fernweave.llm.common import stored, table
 
@@ -192,38 +193,44 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[Labeller
 
 
 def score(docs: DataFrame, model: Labellers, weight: np.ndarray) -> DataFrame:
-    """Columns of docs with posterior (of the labellers) and score (of the scorer), both for good."""
-    names = docs.columns
+    """row: docs' columns, with posterior (of the labellers) and score (of the scorer), both for good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
             patterns, scores = [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(1):
                 data = value.as_py() or b""
                 words = data.split()
                 patterns.append(votes(data, words))
                 at, share = features(words, shapes)
                 scores.append(float(share @ weight[at] + weight[-1]))
             good = 1 - model.posterior(np.array(patterns, np.int64))
-            made = 1 / (1 + np.exp(np.clip(scores, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(good), pa.array(made)], [*batch.schema.names[:-1], "__posterior", "__score"])
+            made = 1 / (1 + np.exp(np.clip(np.array(scores, float), -60, 60)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(made)], ["row", "posterior", "score"])
 
-    schema = docs.schema.add("__posterior", "double").add("__score", "double")
-    return docs.withColumn("__data", F.col("text").cast("binary")).mapInArrow(run, schema).select(*names, "__posterior", "__score")
+    raw = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("data"))
+    schema = StructType([StructField("row", docs.schema), StructField("posterior", DoubleType()), StructField("score", DoubleType())])
+    return raw.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, accept: float = ACCEPT) -> DataFrame:
-    """Columns of docs with __posterior, __score (both: probability of good) and __accepted.
+    """row (a struct of docs' columns), posterior, score (both: probability of good) and accepted.
 
     A null or empty text is scored on no words at all, which the labellers leave alone, and is
     accepted if the corpus is mostly good. Repeated rows and null ids are scored alike;
-    columns other than doc_id and text are passed on as they are. An empty table gives no rows.
+    columns other than doc_id and text are passed on as they are, whatever their names. An
+    empty table gives no rows.
     """
     model, weight = train(docs, fit_documents)
-    return score(docs, model, weight).withColumn("__accepted", F.col("__score") >= accept)
+    return score(docs, model, weight).withColumn("accepted", F.col("score") >= accept)
+
+
+def accepted(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs that classify() accepts."""
+    return classify(docs, **settings).filter("accepted").select("row.*")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("__posterior").alias("posterior"), F.col("__score").alias("score"), F.col("__accepted").alias("accepted"))
+    return found.select("row.doc_id", "posterior", "score", "accepted")

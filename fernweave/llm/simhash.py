@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, UPPER, lookup, stored, table
+from fernweave.llm.common import LOWER, UPPER, fresh, lookup, stored, table
 from fernweave.llm.components import components
 
 SEED = 42
@@ -40,6 +40,11 @@ CHUNK, SAMPLE, HOT_SHARE = 1024, 16, 500
 #: key rows compared at a time
 COMPARE_ROWS = 1 << 19
 
+#: near copies: bits of word fingerprints, differing bits at most, hashes of a sketch
+WIDE_BITS, WIDE_LIMIT, SKETCH = 92, 16, 128
+#: stands for a null id
+NO_ID = -(2**63)
+
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -260,6 +265,90 @@ def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
     return lookup(rows, "fp", stored(named, "named"), F.col("n"), rows.count()).select("doc_id", "fp", "component_id")
 
 
+# --- near copies, verified --------------------------------------------------------------------
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "vid", "lo", "hi", "shingles"]
+    for batch in batches:
+        vids, los, his, sketches = [], [], [], []
+        for value in batch.column(1):
+            data = (value.as_py() or b"").translate(_FOLD)
+            words = data.split()
+            ones = np.zeros(128, np.int64)
+            distinct = list(set(words))
+            for at in range(0, len(distinct), 1 << 14):
+                part = distinct[at : at + (1 << 14)]
+                made = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part)), np.uint8).reshape(-1, 16)
+                ones += np.unpackbits(made, axis=1, bitorder="little").sum(0, dtype=np.int64)
+            both = np.packbits(ones * 2 > len(distinct), bitorder="little").view(np.int64)
+            vids.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)))
+            los.append(int(both[0]))
+            his.append(int(both[1]) & (1 << WIDE_BITS - 64) - 1)
+            sketches.append(np.unique(shingle_hashes(data, width))[:SKETCH].tobytes())
+        values = (batch.column(0), pa.array(vids, pa.int64()), pa.array(los, pa.int64()), pa.array(his, pa.int64()), pa.array(sketches, pa.binary()))
+        yield pa.RecordBatch.from_arrays(list(values), names)
+
+
+def similarity(one: bytes, other: bytes) -> float:
+    """Jaccard similarity of shingle sets from their SKETCH least hashes; exact for sets up to that size."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    least = np.union1d(a, b)
+    if len(a) >= SKETCH or len(b) >= SKETCH:
+        least = least[:SKETCH]
+    return np.isin(np.intersect1d(a, b), least).sum() / len(least) if len(least) else 1.0
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        kept = batch.filter(pa.array(good, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+
+def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and group (the least doc_id) of each row of docs (doc_id, text; others are ignored).
+
+    Texts that are near copies share a group: candidates have word fingerprints of WIDE_BITS bits that are
+    close in two of four segments and in WIDE_LIMIT bits at most over all, and are verified to have
+    width-word shingles of a Jaccard similarity of least or more. Equal word sequences are
+    always grouped, blank and null texts too.
+    """
+    raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
+    rows = stored(raw.mapInArrow(partial(_sketched, width=width), "doc_id long, vid long, lo long, hi long, shingles binary"), "sketches")
+    texts = rows.groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    texts = stored(texts, "texts")
+    found = stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMIT), "found")
+    total = found.count()
+    sketches = rows.select("vid", "shingles").dropDuplicates(["vid"])
+
+    def with_sketch(edges: DataFrame, end: str, name: str) -> DataFrame:
+        degree = edges.groupBy(end).agg(F.count("*").alias("degree"))
+        facts = degree.join(sketches, degree[end] == sketches["vid"]).select(end, "degree", F.col("shingles").alias(name))
+        return lookup(edges, end, facts, F.col("degree"), total).drop("degree")
+
+    pairs = with_sketch(stored(with_sketch(found, "a", "one"), "half"), "b", "other").select("a", "b", "one", "other")
+    roots = components(pairs.mapInArrow(partial(_verified, least=least), "a long, b long"))
+    labels = texts.join(roots, texts["vid"] == roots["vertex"], "left").select("vid", "rep", F.coalesce("root", "vid").alias("root"))
+    labels = stored(labels, "labels")
+    named = labels.groupBy("root").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
+    named = stored(lookup(labels, "root", named, F.col("members"), labels.count()).select("vid", "group"), "named")
+    sizes = rows.groupBy("vid").agg(F.count("*").alias("n"))
+    return lookup(rows.select("doc_id", "vid"), "vid", named.join(sizes, "vid"), F.col("n"), rows.count()).select("doc_id", "group")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group of near copies, with docs' columns.
+
+    doc_id tells documents apart: of rows that share one, one stays.
+    """
+    key = fresh(docs, "kept_id")
+    groups = copy_groups(docs, width, least)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("group"))).select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias(key)).distinct()
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return keyed.join(stored(kept, "kept"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"), width=4, limit=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
