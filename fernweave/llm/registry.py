@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernweave.llm import binary, decontam, exact_dedup, mixing, quality, secrets, simhash, tokens, toxicity
+from fernweave.llm import binary, decontam, exact_dedup, mixing, quality, secrets, simhash, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_suffix_dedup": substrings.op10_suffix_dedup,
     }
 
 
