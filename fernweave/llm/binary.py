@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernweave.llm import rangecoder
-from fernweave.llm.common import shared_dir, table
-from fernweave.llm.tokens import TOKENIZER, pieces, vocabulary_path
+from fernweave.llm.common import batches_of, shared_dir, size_of, table
+from fernweave.llm.tokens import TOKENIZER, pretokens, vocabulary_path
 
 END_ID = 1
 #: ids of a frame at most (but for a longer document), and bytes of input that a task gets about
@@ -32,14 +32,16 @@ SCHEMA = "part int, frame int, n_ids long, doc_ids array<long>, sizes array<long
 
 
 def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    memo, number, count = pieces(tokenizer), 0, 0
+    memo, number, count = pretokens(tokenizer), 0, 0
     end = np.array([end_id], "<u4").tobytes()
     doc_ids: list[int | None] = []
     sizes: list[int] = []
     held: list[np.ndarray] = []
 
     def frame(part: int) -> pa.RecordBatch:
-        payload = rangecoder.encode(np.concatenate(held))
+        ids = np.concatenate(held)
+        held.clear()
+        payload = rangecoder.encode(ids)
         values = ([part], [number], [count], [doc_ids], [sizes], [payload])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["part", "frame", "n_ids", "doc_ids", "sizes", "payload"])
@@ -70,11 +72,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
     empty dataset. No special tokens are added; special strings in texts are theirs.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size_of(docs)
     parts = min(1 << 16, max(1, -(-size // TASK_BYTES)))
     ordered = raw.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "data")
-    ordered.mapInArrow(lambda it: _frames(it, tokenizer, end_id), SCHEMA).write.parquet(path)
+    with batches_of(docs.sparkSession, 1000):
+        ordered.mapInArrow(lambda it: _frames(it, tokenizer, end_id), SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

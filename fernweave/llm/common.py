@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,30 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def size_of(docs: DataFrame) -> int:
+    """Bytes of docs by Spark's estimate, or of its texts where there is none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """While this holds, actions hand Arrow batches of so many rows to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more: Spark's cleaner goes by the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lookup(rows: DataFrame, by: str, facts: DataFrame, size: Column, total: int) -> DataFrame:
     """Inner-join rows with facts (one row for each value of by), whatever the skew.
 

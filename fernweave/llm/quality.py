@@ -27,7 +27,7 @@ FIT_DOCUMENTS = 20_000
 DIMS = 1 << 12
 REPEAT = 0  # the feature "same word as before"
 ACCEPT = 0.5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _SYMBOLS = b"#$%&*+/<=>@\\^_`{|}~[]"
 _ENDS = b".!?"

@@ -24,7 +24,7 @@ import numpy as np
 MAGIC = b"FWR1"
 BLOCK = 4096
 #: lanes coded at once, which bounds memory
-LANES = 4096
+LANES = 1024
 ORDER2, ORDER1, CLASSES1 = 4096, 2048, 64
 #: bits that a place in a half octave takes at most
 PLACE_BITS = np.uint64(15)
@@ -92,7 +92,7 @@ class _Model:
 class _Encoder:
     def __init__(self, n: int, steps: int) -> None:
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-        self.words, self.used = np.zeros((n, steps + 16), np.uint32), np.zeros(n, np.int64)
+        self.words, self.used = np.zeros((n, steps // 3 + 16), np.uint32), np.zeros(n, np.int64)
 
     def put(self, at, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
         """Code [cum, cum + freq) of total in lanes at."""
@@ -221,7 +221,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
         raise ValueError("ids of more than 16 bits")
     if block > BLOCK:
         raise ValueError("blocks too long for the coder's totals")
-    ids = ids.astype(np.uint16)
+    ids = ids.astype(np.uint16, copy=False)
     block = max(1, min(block, len(ids)))
     count = -(-len(ids) // block)
     seen = np.bincount(ids, minlength=1)

@@ -1,14 +1,13 @@
 """Token counts by the whole-token shortcut.
 
-The tokenizer of word_bpe_49k.json never lets a token cross white space, so a text's
-tokens are those of its white-space-separated pieces. Within a piece the vocabulary
-strings that end a word are proved offline: each is encoded alone, once, and those that come
-back as exactly their own id are the proven set. A pre-token in it counts one without any
-merging; only other pre-tokens go through the library's merges.
-
-Pieces are cut at ASCII white space only. All of it is white space to the tokenizer, and
-it composes with no mark, so the cut is safe; a piece with characters outside the letters whose
-normal form and case are plain, or with the start of a special token, goes to the library whole.
+The tokenizer of word_bpe_49k.json never lets a token cross pre-tokens. The vocabulary strings that end
+a word are proved offline: each is encoded alone, once, and those that come back as exactly
+their own id are the proven set. A pre-token in it counts one without any merging; only other
+pre-tokens go through the library's merges.
+
+A text is cut into pre-tokens here if all its characters are ones whose normal form, case and class are plain.
+Otherwise it is cut at ASCII white space, which is white space to the tokenizer and composes with no
+mark, and the pieces with other characters, or with the start of a special token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -26,13 +25,14 @@ from fernweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: pieces and pre-tokens remembered by a worker, and the length of the longest of them
-CACHE_PIECES, CACHE_PRETOKENS, CACHE_BYTES = 400_000, 500_000, 48
+#: pre-tokens remembered by a worker, and the length of the longest of them
+CACHE_PRETOKENS, CACHE_LENGTH = 200_000, 32
 #: fixed values: a space becomes this character in byte-level vocabularies, and words end so
 WORD_END = "</w>"
 
-# letters below U+0250 are in normal form C; U+0130 has a two-character lower case
-_PLAIN = re.compile(r"[!-~¡-¬®-įı-ɏ]+")
+# letters below U+0250 are in normal form C; U+0130 has a two-character lower case, and digits that are not 0-9 are left out
+_PLAIN_ASCII = bytes([9, 10, 11, 12, 13, *range(32, 127)])
+_ODD = re.compile(r"[^\t-\r -~¡-¬®-±´-¸º»¿-įı-ɏ]")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
@@ -73,52 +73,50 @@ def proven(path: str) -> dict[str, int]:
     return {t: known[t] for t, e in zip(texts, found, strict=True) if e.ids == [known[t]]}
 
 
-def _pretokens(text: str) -> list[str] | None:
-    """Pre-tokens of a piece, or None if only the library can tell."""
-    if not _PLAIN.fullmatch(text) or "<|" in text:
-        return None
-    found = _PRETOKEN.findall(text.lower())
-    return found if all(t.isascii() or t.isalpha() for t in found) else None
+def is_plain(data: bytes) -> bool:
+    """Whether lower-casing and pre-tokens are the same here as in the library."""
+    if b"<|" in data:
+        return False
+    if data.isascii():
+        return not data.translate(None, _PLAIN_ASCII)
+    return not _ODD.search(data.decode("utf-8", "replace"))
 
 
-class Pieces(dict):
-    """Bounded memo from a piece's bytes to its token ids as little-endian unsigned 32-bit integers.
+class Pretokens(dict):
+    """Bounded memo from a pre-token to its token ids as little-endian unsigned 32-bit integers.
 
-    Pre-tokens have a memo of their own, since the same ones come with many marks. Both are kept for
-    as long as the Python worker lives and are emptied when full.
+    Proven whole tokens need no merging. It lives as long as the Python worker; when it is full, it becomes
+    the older half, whose entries come back when they are asked for.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = load(path)
         self.known = {text: _packed([number]) for text, number in proven(path).items()}
-        self.merged: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _pretoken(self, part: str) -> bytes:
-        made = self.known.get(part) or self.merged.get(part)
+    def __missing__(self, part: str) -> bytes:
+        made = self.known.get(part) or self.older.get(part)
         if made is None:
             made = _packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
-            if len(part) <= CACHE_BYTES:
-                if len(self.merged) >= CACHE_PRETOKENS:
-                    self.merged.clear()
-                self.merged[part] = made
-        return made
-
-    def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8", "replace")
-        parts = _pretokens(text)
-        if parts is None:
-            made = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        else:
-            made = b"".join(map(self._pretoken, parts))
-        if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
+        if len(part) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PRETOKENS:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = made
+            self[part] = made
         return made
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def ids(self, data: bytes) -> bytes:
+        """The ids of a text."""
+        if is_plain(data):
+            return b"".join(map(self.__getitem__, _PRETOKEN.findall(data.decode().lower())))
+        return b"".join(map(self._piece, data.split()))
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode("utf-8", "replace")
+        if is_plain(piece):
+            return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -126,8 +124,8 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @cache
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pretokens(path: str) -> Pretokens:
+    return Pretokens(path)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -140,7 +138,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = pieces(path)
+        memo = pretokens(path)
         for batch in batches:
             size, count = [], []
             for value in batch.column(1):

@@ -27,7 +27,7 @@ FEATURES, LEAST_DOCUMENTS, LEAST_ODDS = 8192, 3, 1.0
 DIMS = 1 << 26
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = re.compile(r"^\W+|\W+$")
