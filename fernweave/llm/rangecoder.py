@@ -25,7 +25,7 @@ MAGIC = b"FWR1"
 BLOCK = 4096
 #: lanes coded at once, which bounds memory
 LANES = 1024
-ORDER2, ORDER1, CLASSES1 = 4096, 2048, 64
+ORDER2, ORDER1, CLASSES1 = 1024, 512, 64
 #: bits that a place in a half octave takes at most
 PLACE_BITS = np.uint64(15)
 MAX_ID = (1 << 16) - 1
