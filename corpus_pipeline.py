@@ -12,28 +12,38 @@ from fernweave.llm import binary, decontam, mixing, quality, simhash, tokens
 from fernweave.llm.common import stored, table
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows that go to Python at a time: the default of 10,000 whole documents takes executors much memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier accepts."""
+    _small_batches(spark)
     return quality.accepted(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each group of near copies (five-word shingles, similarity 0.8)."""
+    _small_batches(spark)
     return simhash.one_of_each(docs, width=5, least=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item, verbatim or with other numbers, names and units."""
+    _small_batches(spark)
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix by source takes them."""
+    _small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written and read back: doc_id, start, n_tokens, ids_crc32 of each row."""
+    _small_batches(spark)
     return binary.written_and_read(docs, tokens.vocabulary_path(tokens.TOKENIZER))
 
 

@@ -1,7 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components by contraction.
 
-Edges stay distributed; each round is written to the shared folder. Hubs are handled by
-lookup(): their minimum is broadcast, all other keys are small.
+In each round every vertex points to its least neighbour (or itself), pointers are followed twice more, and edges are
+relabelled by what their ends point to; those within one vertex go. Dense groups vanish in a round or two and chains shrink by a
+factor of four. Edges stay distributed, each round is written to the shared folder, and hubs go through lookup().
 """
 
 from __future__ import annotations
@@ -12,42 +13,42 @@ from pyspark.sql import functions as F
 from fernweave.llm.common import drop_stored, lookup, stored
 
 
-def _minima(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Edges with the least neighbour of a, for edges (a, b)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("degree"))
-    return edges, least, edges.count()
+def _through(rows: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
+    """rows with column replaced by what it points to (pointers: v, p for each value)."""
+    counted = rows.groupBy(column).agg(F.count("*").alias("__n"))
+    facts = pointers.select(F.col("v").alias(column), F.col("p").alias("__p")).join(counted, column)
+    moved = lookup(rows, column, facts, F.col("__n"), rows.count())
+    return moved.withColumn(column, F.col("__p")).select(*rows.columns)
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    edges, least, total = _minima(edges)
-    return lookup(edges, "a", least, F.col("degree"), total)
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _pointers(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("p")), "pointers")
+    for _ in range(2):
+        second = stored(_through(first, "p", first), "pointers")
+        drop_stored(first)
+        first = second
+    return first
 
 
 def components(edges: DataFrame) -> DataFrame:
     """vertex and root (the component's least vertex) of every vertex of edges (a, b), both long.
 
-    Loops and repeated edges do no harm; an empty table gives no rows.
+    Loops count as edges of no other vertex and give no row; repeated edges do no harm; an
+    empty table gives no rows.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = _state(now)
-    while before[0]:
-        both = stored(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-        large = _star(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
-        large = stored(large.filter("a <> b").distinct(), "large")
-        small = _star(large)
-        small = small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
-        following = stored(small.select("e.*").filter("a <> b").distinct(), "edges")
-        after = _state(following)
-        drop_stored(both)
-        drop_stored(large)
-        drop_stored(now)
-        now = following
-        if after == before:
-            break
-        before = after
-    roots = now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(roots)
+    labels = stored(now.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().withColumn("root", F.col("vertex")), "labels")
+    while now.limit(1).count():
+        pointers = _pointers(now)
+        half = stored(_through(now, "a", pointers), "half")
+        moved = _through(half, "b", pointers).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        following = stored(moved.filter("a <> b").distinct(), "edges")
+        # labels that are in no edge any more are final
+        spread = labels.groupBy("root").agg(F.count("*").alias("n"))
+        facts = spread.join(pointers.select(F.col("v").alias("root"), "p"), "root", "left").select("root", "n", F.coalesce("p", "root").alias("p"))
+        new = stored(lookup(labels, "root", facts, F.col("n"), labels.count()).select("vertex", F.col("p").alias("root")), "labels")
+        for old in (now, half, pointers, labels):
+            drop_stored(old)
+        now, labels = following, new
+    return labels

@@ -34,14 +34,14 @@ SEGMENT = 23
 #: fixed value: the generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 GENERATOR = 0b110001110101
 #: groups up to this size are compared pair by pair, larger ones by breadth-first search
-SMALL_GROUP = 24
+SMALL_GROUP = 8
 #: a group estimated to exceed CHUNK * 2 fingerprints (and a share of all) is cut into chunks
 CHUNK, SAMPLE, HOT_SHARE = 1024, 16, 500
 #: key rows compared at a time
 COMPARE_ROWS = 1 << 19
 
-#: near copies: bits of word fingerprints, differing bits at most, hashes of a sketch
-WIDE_BITS, WIDE_LIMIT, SKETCH = 92, 16, 128
+#: near copies: bits of word fingerprints, differing bits at most (for close links, for all), hashes of a sketch
+WIDE_BITS, WIDE_LIMITS, SKETCH = 92, (6, 16), 128
 #: stands for a null id
 NO_ID = -(2**63)
 
@@ -176,8 +176,8 @@ def forest(lo: np.ndarray, hi: np.ndarray, limit: int) -> list[tuple[np.ndarray,
     return found
 
 
-def _compare(group: np.ndarray, vid: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal group."""
+def _compare(group: np.ndarray, vid: np.ndarray, lo: np.ndarray, hi: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal group: all of small ones, of others a forest for each limit."""
     left, right = [], []
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -188,18 +188,19 @@ def _compare(group: np.ndarray, vid: np.ndarray, lo: np.ndarray, hi: np.ndarray,
         pos = np.flatnonzero(g[step:] == g[:-step])
         if not len(pos):
             break
-        pos = pos[_far(a[pos], b[pos], a[pos + step], b[pos + step]) <= limit]
+        pos = pos[_far(a[pos], b[pos], a[pos + step], b[pos + step]) <= limits[-1]]
         left.append(v[pos])
         right.append(v[pos + step])
     for k in np.flatnonzero(sizes > SMALL_GROUP):
         here = slice(starts[k], starts[k] + sizes[k])
-        for p, q in forest(lo[here], hi[here], limit):
-            left.append(vid[here][p])
-            right.append(vid[here][q])
+        for limit in limits:
+            for p, q in forest(lo[here], hi[here], limit):
+                left.append(vid[here][p])
+                right.append(vid[here][q])
     return (np.concatenate(left), np.concatenate(right)) if left else (vid[:0], vid[:0])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Rows (key, tile, vid, lo, hi) come sorted by key and tile; the last group waits for the next batch."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
@@ -209,7 +210,7 @@ def _linked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         key, tile, vid, lo, hi = (np.concatenate(c) for c in zip(*held, strict=True))
         new = np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
         upto = len(key) if last else int(np.flatnonzero(new)[-1])
-        a, b = _compare(np.cumsum(new)[:upto], vid[:upto], lo[:upto].view(np.uint64), hi[:upto].view(np.uint64), limit)
+        a, b = _compare(np.cumsum(new)[:upto], vid[:upto], lo[:upto].view(np.uint64), hi[:upto].view(np.uint64), limits)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
         held, count = [tuple(c[upto:] for c in (key, tile, vid, lo, hi))], len(key) - upto
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -223,11 +224,12 @@ def _linked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield from flush(True)
 
 
-def links(points: DataFrame, bits: int, limit: int) -> DataFrame:
-    """Links (a, b), a < b, between points (vid, lo, hi: long) of bits bits that differ in limit or fewer.
+def links(points: DataFrame, bits: int, limits: tuple[int, ...]) -> DataFrame:
+    """Links (a, b), a < b, between points (vid, lo, hi: long) of bits bits that differ in the last of limits or fewer.
 
-    For 64 bits and limit 4 no linked pair is left unconnected; within a large group only a
-    spanning forest of its links is given.
+    For 64 bits and limit 4 no linked pair is left unconnected; within a larger group only a
+    spanning forest of its links is given, one for each of limits. Groups come sorted by vid, so
+    that the forests of groups with the same members are much the same.
     """
     keyed = partial(_keyed, bits=bits)
     schema = "key long, vid long, lo long, hi long"
@@ -240,8 +242,8 @@ def links(points: DataFrame, bits: int, limit: int) -> DataFrame:
     chunk = F.pmod(F.xxhash64("vid", F.lit(7)), F.col("chunks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
     rows = rows.select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(tiles)).alias("tile"), "vid", "lo", "hi")
-    rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return rows.mapInArrow(partial(_linked, limit=limit), "a long, b long").distinct()
+    rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "vid")
+    return rows.mapInArrow(partial(_linked, limits=limits), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
@@ -257,7 +259,7 @@ def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
     rows = stored(fingerprints(docs, width), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
     points = fps.select(F.col("fp").alias("vid"), F.col("fp").alias("lo"), F.lit(0).cast("long").alias("hi"))
-    roots = components(links(points, 64, limit))
+    roots = components(links(points, 64, (limit,)))
     labels = fps.join(roots, fps["fp"] == roots["vertex"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     labels = stored(labels, "labels")
     least = labels.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
@@ -310,7 +312,7 @@ def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     """doc_id and group (the least doc_id) of each row of docs (doc_id, text; others are ignored).
 
     Texts that are near copies share a group: candidates have word fingerprints of WIDE_BITS bits that are
-    close in two of four segments and in WIDE_LIMIT bits at most over all, and are verified to have
+    close in two of four segments and in 16 bits at most over all, and are verified to have
     width-word shingles of a Jaccard similarity of least or more. Equal word sequences are
     always grouped, blank and null texts too.
     """
@@ -318,7 +320,7 @@ def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     rows = stored(raw.mapInArrow(partial(_sketched, width=width), "doc_id long, vid long, lo long, hi long, shingles binary"), "sketches")
     texts = rows.groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     texts = stored(texts, "texts")
-    found = stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMIT), "found")
+    found = stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMITS), "found")
     total = found.count()
     sketches = rows.select("vid", "shingles").dropDuplicates(["vid"])
 
