@@ -62,7 +62,6 @@ def shard(ranks: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Shard:
     # within a string, the suffix one word on is WORD places on
     string_at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     step = WORD
-    order = np.argsort(rank, kind="stable")
     while True:
         following = place + step
         reach = following <= ends[owner]

@@ -29,9 +29,9 @@ from fernweave.llm.anchors import LENGTH, Fragments, fragments
 from fernweave.llm.common import batches_of, release, stored, table
 
 #: bytes of text in a pack, and of text for each bucket
-PACK_BYTES, BUCKET_BYTES = 3 << 20, 4 << 20
+PACK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 #: bytes of a shard, and of shards that are merged at once (whole anchor groups; a larger group is merged alone)
-SHARD_BYTES, MERGE_BYTES = 1 << 17, 1 << 20
+SHARD_BYTES, MERGE_BYTES = 1 << 13, 1 << 16
 #: stands for a null id, which is larger than any other
 NO_ID = 2**63 - 1
 
@@ -121,7 +121,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
 
 
 def _by_bucket(batch: pa.RecordBatch, k: int, anchor: np.ndarray, buckets: int, payload) -> Iterator[pa.RecordBatch]:
-    bucket = (anchor * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % buckets
+    bucket = (anchor.astype(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = [(b, payload(order[begin[b] : begin[b + 1]])) for b in range(buckets) if begin[b] < begin[b + 1]]
@@ -162,46 +162,49 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(anchor, kind="stable")
         sorted_ = anchor[order]
         begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        many = np.diff(np.concatenate([begin, [len(sorted_)]])) > 1
+        size = np.diff(np.concatenate([begin, [len(sorted_)]]))
         several = np.maximum.reduceat((marked[order] & np.uint64(1)).astype(np.int8), begin) > 0
-        wanted = sorted_[begin][many | several]
-        back = [(part, number, own[np.isin(own, wanted)].tobytes()) for (part, number, _), own in zip(rows, (s >> np.uint64(1) for s in sent), strict=True)]
-        yield _returned([b for b in back if b[2]])
+        wanted = np.empty(len(anchor), bool)
+        wanted[order] = np.repeat((size > 1) | several, size)
+        cuts = np.cumsum([len(x) for x in sent])[:-1]
+        parts = zip(rows, np.split(anchor.astype(np.uint32), cuts), np.split(wanted, cuts), strict=True)
+        yield _returned([(part, number, own[good].tobytes()) for (part, number, _), own, good in parts if good.any()])
 
 
 # --- fragments ----------------------------------------------------------------------------------
 
 
-def _chosen(texts: list[bytes], wanted: np.ndarray) -> tuple[Fragments, np.ndarray, np.ndarray]:
-    """Fragments whose anchor is wanted, the content's hash of each, and the number of its distinct content."""
+def _chosen(texts: list[bytes], wanted: np.ndarray) -> tuple[Fragments, np.ndarray]:
+    """Fragments whose anchor is wanted (by its low 32 bits), and the number of each one's distinct content."""
     found = fragments(texts)
+    found = found._replace(anchor=found.anchor.astype(np.uint32))
     keep = np.flatnonzero(np.isin(found.anchor, wanted))
     found = Fragments(*(c[keep] for c in found))
     content = np.fromiter(
         (xxhash.xxh3_64_intdigest(texts[o][a : a + n + LENGTH - 1]) for o, a, n in zip(found.owner.tolist(), found.first.tolist(), found.count.tolist(), strict=True)),
         np.uint64, len(keep),
     )
-    distinct = np.unique(np.stack([found.anchor, content], 1), axis=0, return_inverse=True)[1].reshape(-1) if len(keep) else keep
-    return found, content, distinct
+    distinct = np.unique(content, return_inverse=True)[1] if len(keep) else keep
+    return found, distinct
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct fragments of the wanted anchors: number within the pack, anchor, content, windows, least id, bytes."""
+    """Distinct fragments of the wanted anchors: number within the pack, anchor, windows, least id, bytes."""
     for batch in batches:
         for k in range(batch.num_rows):
             ids, sizes = _pack_ids(batch.column(2)[k]), np.array(batch.column(3)[k].as_py(), np.int64)
             texts = _texts(batch.column(4)[k].as_py(), sizes)
-            wanted = np.frombuffer(b"".join(batch.column(5)[k].as_py()), np.uint64)
-            found, content, distinct = _chosen(texts, wanted)
+            wanted = np.frombuffer(b"".join(batch.column(5)[k].as_py()), np.uint32)
+            found, distinct = _chosen(texts, wanted)
             if not len(distinct):
                 continue
             order = np.lexsort((ids[found.owner], distinct))
             rep = order[np.flatnonzero(np.concatenate([[True], distinct[order][1:] != distinct[order][:-1]]))]
 
-            def payload(at: np.ndarray, rep=rep, found=found, content=content, ids=ids, texts=texts) -> bytes:
+            def payload(at: np.ndarray, rep=rep, found=found, ids=ids, texts=texts) -> bytes:
                 r = rep[at]
                 data = b"".join(texts[o][a : a + n + LENGTH - 1] for o, a, n in zip(found.owner[r].tolist(), found.first[r].tolist(), found.count[r].tolist(), strict=True))
-                return _squeezed(at.astype(np.uint32), found.anchor[r], content[r], found.count[r].astype(np.uint8), ids[found.owner[r]], np.frombuffer(data, np.uint8))
+                return _squeezed(at.astype(np.uint32), found.anchor[r], found.count[r].astype(np.uint8), ids[found.owner[r]], np.frombuffer(data, np.uint8))
 
             yield from _by_bucket(batch, k, found.anchor[rep], buckets, payload)
 
@@ -248,10 +251,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """To each pack, the least id of each window of its fragments."""
     for rows in _buckets(batches):
         sent = [_arrays(p) for _, _, p in rows]
-        anchor, content, count, ids = (np.concatenate([s[k] for s in sent]) for k in (1, 2, 3, 4))
-        data = np.concatenate([s[5] for s in sent])
+        anchor, count, ids = (np.concatenate([s[k] for s in sent]) for k in (1, 2, 3))
+        data = np.concatenate([s[4] for s in sent])
         sizes = count.astype(np.int64) + LENGTH - 1
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        raw = data.tobytes()
+        content = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)), np.uint64, len(starts))
         order = np.lexsort((ids, content, anchor))
         new = np.ones(len(order), bool)
         new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
@@ -265,10 +270,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, back = 0, []
         for (part, number, _), s in zip(rows, sent, strict=True):
             here = string[at : at + len(s[0])]
-            windows = s[3].astype(np.int64)
-            inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-            values = made[np.repeat(begin[here], windows) + inner]
-            back.append((part, number, _squeezed(s[0], s[1], s[3], values)))
+            windows = s[2].astype(np.int64)
+            first = np.cumsum(windows) - windows
+            values = made[np.repeat(begin[here] - first, windows) + np.arange(int(windows.sum()))]
+            # fragments with one id for all windows go without their number
+            even = np.minimum.reduceat(values, first) == np.maximum.reduceat(values, first)
+            back.append((part, number, _squeezed(s[0], s[1], np.where(even, 1, s[2]).astype(np.uint8), values[np.repeat(~even, windows) | np.isin(np.arange(len(values)), first)])))
             at += len(s[0])
         yield _returned(back)
 
@@ -304,13 +311,15 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 def _spans(texts: list[bytes], ids: np.ndarray, sent: list[list[np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Removed spans of each document: begins and ends."""
     number, anchor, count, values = (np.concatenate([s[k] for s in sent]) for k in range(4))
-    found, _, distinct = _chosen(texts, anchor)
+    found, distinct = _chosen(texts, anchor)
     place = np.full(int(distinct.max()) + 1, -1, np.int64)
     windows = count.astype(np.int64)
     place[number] = np.cumsum(windows) - windows
+    many = np.zeros(len(place), bool)
+    many[number] = windows > 1
     n = found.count
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    gone = values[np.repeat(place[distinct], n) + inner] < np.repeat(ids[found.owner], n)
+    gone = values[np.repeat(place[distinct], n) + inner * np.repeat(many[distinct], n)] < np.repeat(ids[found.owner], n)
     owner, at = np.repeat(found.owner, n)[gone], (np.repeat(found.first, n) + inner)[gone]
     if not len(owner):
         return {}
