@@ -122,4 +122,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """A row for each document and item that match; documents without a row are clean."""
+    found = matches(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("item"), "share", (F.col("changed") > 0).alias("other_values"))
