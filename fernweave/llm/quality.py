@@ -27,6 +27,7 @@ FIT_DOCUMENTS = 20_000
 DIMS = 1 << 12
 REPEAT = 0  # the feature "same word as before"
 ACCEPT = 0.5
+FALSE_ALARM = 0.001
 CACHE_WORDS = 150_000
 
 _SYMBOLS = b"#$%&*+/<=>@\\^_`{|}~[]"
@@ -125,7 +126,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
     """Expectation-maximisation over counted vote patterns; smoothed, so nothing is ever certain.
 
     Labellers see different kinds of junk, so each starts a class of its own: the documents
-    that it calls junk. What none calls junk starts as good.
+    that it calls junk. What none calls junk starts as good. Labellers are specific: that one calls a good
+    document junk has a prior rate of FALSE_ALARM, worth half as many votes as there are documents.
     """
     digits = _digits(patterns)
     called = np.array([d == 2 for d in digits], float)
@@ -137,6 +139,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
         for k, vote in enumerate(digits):
             for c in range(len(post)):
                 seen = np.bincount(vote, weight[c], 3)[1:] + 0.5
+                if c == 0:
+                    seen += counts.sum() / 2 * np.array([1 - FALSE_ALARM, FALSE_ALARM])
                 table_[k, c, 1:] = seen / seen.sum()
         share = weight.sum(1) + 0.5
         model = Labellers(share / share.sum(), table_)
