@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -79,9 +80,14 @@ def batches_of(spark: SparkSession, rows: int):
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing refers to any more: Spark's cleaner goes by the driver's garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of shuffle files that nothing refers to any more.
+
+    Spark's cleaner goes by the driver's garbage; what a finished query holds is freed by the second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def lookup(rows: DataFrame, by: str, facts: DataFrame, size: Column, total: int) -> DataFrame:
