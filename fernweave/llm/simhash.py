@@ -41,7 +41,7 @@ CHUNK, SAMPLE, HOT_SHARE = 1024, 16, 500
 COMPARE_ROWS = 1 << 19
 
 #: near copies: bits of word fingerprints, differing bits at most (for close links, for all), hashes of a sketch
-WIDE_BITS, WIDE_LIMITS, SKETCH = 92, (6, 16), 128
+WIDE_BITS, WIDE_LIMITS, SKETCH = 92, (6, 16), 256
 #: stands for a null id
 NO_ID = -(2**63)
 
