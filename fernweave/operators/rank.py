@@ -55,10 +55,11 @@ def length_run(union: DataFrame, pages: DataFrame, number: int = 2, weight: floa
     return ranked_pages(made)
 
 
-def reciprocal_rank_fusion(runs: DataFrame, k: int = 60) -> DataFrame:
-    """page_id, rrf and first sight (first_run, first_rank) over the runs; a missing run adds nothing."""
-    fused = runs.groupBy("page_id").agg(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))).alias("rrf"), F.min(F.struct("run_no", "rank")).alias("first"))
-    return fused.select("page_id", "rrf", F.col("first.run_no").alias("first_run"), F.col("first.rank").alias("first_rank"))
+def reciprocal_rank_fusion(runs: DataFrame, k: int = 60, names: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, rrf, first sight (first_run, first_rank) and a score column for each of names; a missing run adds nothing."""
+    scores = [F.max(F.when(F.col("run_name") == n, F.col("score"))).alias(n) for n in names]
+    fused = runs.groupBy("page_id").agg(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))).alias("rrf"), F.min(F.struct("run_no", "rank")).alias("first"), *scores)
+    return fused.select("page_id", "rrf", F.col("first.run_no").alias("first_run"), F.col("first.rank").alias("first_rank"), *names)
 
 
 def best_of_each(rows: DataFrame, key: str, *order: Column) -> DataFrame:

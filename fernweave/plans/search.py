@@ -41,16 +41,16 @@ def fuse(chunk_runs: list[DataFrame], pages: DataFrame, rerankers: tuple[Reranke
         runs = runs.unionByName(rank.page_run(more))
     if decimals is not None:
         runs = runs.withColumn("score", F.round("score", decimals))
-    union = rank.page_union(runs)
-    for reranker in rerankers:
-        runs = runs.unionByName(reranker(union, pages))
-    fused = rank.reciprocal_rank_fusion(runs, k)
+    if rerankers:
+        union = rank.page_union(runs)
+        for reranker in rerankers:
+            runs = runs.unionByName(reranker(union, pages))
+    fused = rank.reciprocal_rank_fusion(runs, k, ("dense", "bm25", "length"))
     if decimals is not None:
         fused = fused.withColumn("rrf", F.round("rrf", decimals + 4))
-    scores = rank.union_candidates(runs, "page_id", ("dense", "bm25", "length")).drop("first_run", "first_rank")
-    top = fused.orderBy(F.desc("rrf"), "first_run", "first_rank").limit(limit)
     order = Window.orderBy(F.desc("rrf"), "first_run", "first_rank")
-    return top.withColumn("position", F.row_number().over(order).cast("long")).join(scores, "page_id").select("page_id", "dense", "bm25", "length", "rrf", "position")
+    top = fused.orderBy(F.desc("rrf"), "first_run", "first_rank").limit(limit)
+    return top.withColumn("position", F.row_number().over(order).cast("long")).select("page_id", "dense", "bm25", "length", "rrf", "position")
 
 
 def search(
