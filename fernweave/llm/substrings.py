@@ -32,6 +32,7 @@ from fernweave.llm.common import batches_of, release, stored, table
 PACK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 #: bytes of a shard, and of shards that are merged at once (whole anchor groups; a larger group is merged alone)
 SHARD_BYTES, MERGE_BYTES = 1 << 13, 1 << 16
+LEVEL = 5
 #: stands for a null id, which is larger than any other
 NO_ID = 2**63 - 1
 
@@ -45,7 +46,7 @@ def _squeezed(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         raw = np.ascontiguousarray(a)
         parts.append(struct.pack("<2sQ", raw.dtype.str[1:].encode(), raw.nbytes) + raw.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(parts))
 
 
 def _arrays(blob: bytes) -> list[np.ndarray]:
@@ -76,7 +77,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = number = part = 0
 
     def pack() -> pa.RecordBatch:
-        blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+        blob = zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(texts))
         names, kinds = ["part", "number", "ids", "sizes", "blob"], [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return _batch(names, kinds, [[part], [number], [ids], [[len(t) for t in texts]], [blob]])
 
