@@ -669,3 +669,25 @@ def _(spark, sf):
     from fernweave.streaming.loops import activity_windows
 
     return activity_windows(_table(spark, sf, "events")).select(*_seconds("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# --- imports and clean-up -------------------------------------------------------------------------
+
+
+@query("p14_c8_robots_cleanup", "SELECT count(*) AS checked, count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 3 <> 0) AS kept, count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 3 = 0) AS blocked, 0::BIGINT AS removed, count(*) FILTER (c_custkey % 7 = 0) AS failures FROM customer")
+def _(spark, sf):
+    from fernweave.plans.imports import robots_cleanup
+
+    every = sites(spark, sf).select("id", "base_url")
+    text = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 3 == 0, "User-agent: *\nDisallow: /\nAllow: /robots.txt").otherwise("User-agent: *\nDisallow: /x")
+    robots = every.select("base_url", text.alias("text"), F.lit(None).cast("string").alias("error"))
+    return robots_cleanup(every, robots, "reader")[1]
+
+
+@query("c7_j11_import", "SELECT count(*) AS valid, count(*) - count(DISTINCT event_id % 400) AS duplicates, count(DISTINCT event_id % 400) FILTER (event_id % 400 IN (SELECT c_custkey FROM customer)) AS configured, count(DISTINCT event_id % 400) FILTER (event_id % 400 NOT IN (SELECT c_custkey FROM customer)) AS wanted FROM events")
+def _(spark, sf):
+    from fernweave.plans.imports import import_requests
+
+    origin = F.concat(F.lit("https://c"), (F.col("event_id") % 400).cast("string"), F.lit(".example"))
+    rows = _table(spark, sf, "events").select(origin.alias("origin"), F.concat(origin, F.lit("/feed")).alias("feed_url"), F.col("event_id").alias("line_no"))
+    return import_requests(rows, sites(spark, sf), "csv")[1]

@@ -136,3 +136,22 @@ def test_redirect_to_other_site_is_permanent(spark):
     assert {(r.id, r.outcome, r.error_kind) for r in made.reports.collect()} == {(1, "error", "permanent"), (2, "done", None), (3, "error", "transient"), (4, "done", None)}
     assert [r.url for r in made.pages.collect()] == ["https://a.example/2"]
     assert made.chunks.count() == 2
+
+
+def test_imports(spark):
+    from fernweave.plans.imports import import_requests, resolves_public, robots_cleanup
+
+    rows = spark.createDataFrame(
+        [("https://b.example", "https://b.example/1", 1, 5), ("https://b.example", "https://b.example/2", 0, 1), ("https://a.example", "http://10.0.0.1/f", 0, 1), ("https://c.example", "https://c.example/f", 0, 0)],
+        "origin string, feed_url string, errors long, fetched long",
+    )
+    sites = spark.createDataFrame([("https://c.example",)], "base_url string")
+    requests, counts = import_requests(rows, sites, "json")
+    assert [tuple(r) for r in requests.collect()] == [("https://b.example", "https://b.example/2", "auto")]
+    assert tuple(counts.first()) == (4, 1, 1, 1)
+    assert {r.url for r in import_requests(rows, sites, "json", refresh=True)[0].collect()} == {"https://b.example", "https://c.example"}
+    robots = spark.createDataFrame([("https://c.example", "User-agent: *\nDisallow: /", None)], "base_url string, text string, error string")
+    gone, tally = robots_cleanup(sites, robots, "reader", dry_run=False)
+    assert [r.base_url for r in gone.collect()] == ["https://c.example"]
+    assert tuple(tally.first()) == (1, 0, 1, 1, 0)
+    assert resolves_public(["8.8.8.8"]) and not resolves_public([]) and not resolves_public(["8.8.8.8", "10.0.0.1"])
