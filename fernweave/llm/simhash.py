@@ -16,7 +16,7 @@ fingerprints is dealt to tiles of two chunks each, so every pair still meets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, partial
 from itertools import combinations, repeat
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, UPPER, fresh, lookup, stored, table
+from fernweave.llm.common import LOWER, UPPER, drop_stored, fresh, lookup, stored, table
 from fernweave.llm.components import components
 
 SEED = 42
@@ -40,8 +40,12 @@ CHUNK, SAMPLE, HOT_SHARE = 1024, 16, 500
 #: key rows compared at a time
 COMPARE_ROWS = 1 << 19
 
-#: near copies: bits of word fingerprints, differing bits at most (for close links, for all), hashes of a sketch
-WIDE_BITS, WIDE_LIMITS, SKETCH = 92, (6, 16), 256
+#: near copies: bits of word fingerprints, differing bits at most (for close links, for all)
+WIDE_BITS, WIDE_LIMITS = 92, (6, 16)
+#: buckets that a text's shingles are counted in, up to 255 each
+BUCKETS = 128
+#: shingles that come last in prefixes: those of so many texts of a sample, so many at most
+COMMON, MOST_COMMON = 3, 1 << 17
 #: stands for a null id
 NO_ID = -(2**63)
 
@@ -200,7 +204,7 @@ def _compare(group: np.ndarray, vid: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (vid[:0], vid[:0])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa.RecordBatch]:
     """Rows (key, tile, vid, lo, hi) come sorted by key and tile; the last group waits for the next batch."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
@@ -210,7 +214,7 @@ def _linked(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...]) -> Itera
         key, tile, vid, lo, hi = (np.concatenate(c) for c in zip(*held, strict=True))
         new = np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
         upto = len(key) if last else int(np.flatnonzero(new)[-1])
-        a, b = _compare(np.cumsum(new)[:upto], vid[:upto], lo[:upto].view(np.uint64), hi[:upto].view(np.uint64), limits)
+        a, b = compare(np.cumsum(new)[:upto], vid[:upto], lo[:upto].view(np.uint64), hi[:upto].view(np.uint64))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
         held, count = [tuple(c[upto:] for c in (key, tile, vid, lo, hi))], len(key) - upto
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -231,7 +235,11 @@ def links(points: DataFrame, bits: int, limits: tuple[int, ...]) -> DataFrame:
     spanning forest of its links is given, one for each of limits. Groups come sorted by vid, so
     that the forests of groups with the same members are much the same.
     """
-    keyed = partial(_keyed, bits=bits)
+    return _met(points, partial(_keyed, bits=bits), partial(_compare, limits=limits))
+
+
+def _met(points: DataFrame, keyed: Callable, compare: Callable) -> DataFrame:
+    """What compare finds (a, b) within each key of the rows (key, vid, lo, hi) that keyed makes of points."""
     schema = "key long, vid long, lo long, hi long"
     total = points.count()
     hot = F.greatest(F.lit(2 * CHUNK), F.lit(total / HOT_SHARE))
@@ -243,7 +251,7 @@ def links(points: DataFrame, bits: int, limits: tuple[int, ...]) -> DataFrame:
     tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
     rows = rows.select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(tiles)).alias("tile"), "vid", "lo", "hi")
     rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "vid")
-    return rows.mapInArrow(partial(_linked, limits=limits), "a long, b long").distinct()
+    return rows.mapInArrow(partial(_linked, compare=compare), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
@@ -271,9 +279,9 @@ def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "vid", "lo", "hi", "shingles"]
+    names = ["doc_id", "vid", "lo", "hi", "counts", "shingles"]
     for batch in batches:
-        vids, los, his, sketches = [], [], [], []
+        vids, los, his, counts, sketches = [], [], [], [], []
         for value in batch.column(1):
             data = (value.as_py() or b"").translate(_FOLD)
             words = data.split()
@@ -287,18 +295,23 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             vids.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)))
             los.append(int(both[0]))
             his.append(int(both[1]) & (1 << WIDE_BITS - 64) - 1)
-            sketches.append(np.unique(shingle_hashes(data, width))[:SKETCH].tobytes())
-        values = (batch.column(0), pa.array(vids, pa.int64()), pa.array(los, pa.int64()), pa.array(his, pa.int64()), pa.array(sketches, pa.binary()))
+            shingles = np.unique(shingle_hashes(data, width))
+            counts.append(np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes())
+            sketches.append(shingles.tobytes())
+        values = (batch.column(0), *(pa.array(v, pa.int64()) for v in (vids, los, his)), *(pa.array(v, pa.binary()) for v in (counts, sketches)))
         yield pa.RecordBatch.from_arrays(list(values), names)
 
 
+def _needed(sizes: np.ndarray | int, least: float) -> np.ndarray:
+    """Shingles that two sets have in common at least, of so many in both, if their similarity is least or more."""
+    return np.ceil(np.asarray(sizes) * (least / (1 + least)) - 1e-6)
+
+
 def similarity(one: bytes, other: bytes) -> float:
-    """Jaccard similarity of shingle sets from their SKETCH least hashes; exact for sets up to that size."""
+    """Jaccard similarity of two shingle sets."""
     a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-    least = np.union1d(a, b)
-    if len(a) >= SKETCH or len(b) >= SKETCH:
-        least = least[:SKETCH]
-    return np.isin(np.intersect1d(a, b), least).sum() / len(least) if len(least) else 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -308,29 +321,117 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bucket counts allow the similarity: sets differ at least by as much as their counts do."""
+    for batch in batches:
+        one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int32) for k in (2, 3))
+        apart = np.abs(one - other).sum(1)
+        # counts of 255 may stand for more, then sizes are not known
+        sizes, full = one.sum(1) + other.sum(1), (one == 255).any(1) | (other == 255).any(1)
+        kept = batch.filter(pa.array(full | ((sizes - apart) // 2 >= _needed(sizes, least)), pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for value in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(value.as_py(), np.int64))], ["key"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, vid, label, size and place) for the first shingles of each text: rare ones first, then by hash."""
+    for batch in batches:
+        found: list[tuple[np.ndarray, ...]] = []
+        for vid, label, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            shingles = np.frombuffer(value, np.uint64)
+            if not len(shingles):
+                continue
+            times = np.zeros(len(shingles), np.int64)
+            if len(common):
+                at = np.searchsorted(common, shingles).clip(max=len(common) - 1)
+                times = np.where(common[at] == shingles, often[at], 0)
+            size = len(shingles)
+            upto = size - int(np.ceil(least * size - 1e-6)) + 1
+            keys = shingles[np.argsort(times, kind="stable")[:upto]].view(np.int64)
+            found.append((keys, np.full(len(keys), vid), np.full(len(keys), label), size << 32 | np.arange(len(keys))))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "vid", "lo", "hi"])
+
+
+def _meeting(group: np.ndarray, vid: np.ndarray, label: np.ndarray, placed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unlike labels within runs of equal group that can be similar if the run's shingle is their first common one."""
+    left, right = [], []
+    size = (placed >> np.uint64(32)).astype(np.int64)
+    rest = size - (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+
+    def take(x, y) -> None:
+        good = (label[x] != label[y]) & (np.minimum(rest[x], rest[y]) >= _needed(size[x] + size[y], least))
+        left.append(np.broadcast_to(vid[x], good.shape)[good])
+        right.append(vid[y][good])
+
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL_GROUP), sizes))
+    for step in range(1, SMALL_GROUP):
+        pos = np.flatnonzero(group[at[step:]] == group[at[:-step]])
+        if not len(pos):
+            break
+        take(at[pos], at[pos + step])
+    for k in np.flatnonzero(sizes > SMALL_GROUP):
+        for x in range(starts[k], starts[k] + sizes[k] - 1):
+            take(x, np.arange(x + 1, starts[k] + sizes[k]))
+    return (np.concatenate(left), np.concatenate(right)) if left else (vid[:0], vid[:0])
+
+
+def prefix_links(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets (vid, label, shingles) with unlike labels: all of similarity least or more, and others.
+
+    Whatever the order of shingles, the first one that two such sets share lies among the first 1 - least of
+    either. The order is by frequency in a sample, so that few unlike texts meet; only cost hangs on it.
+    """
+    sample = sets.filter(F.pmod(F.xxhash64("vid"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(_all_shingles, "key long")
+    counted = sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
+    common, often = counted.column("key").to_numpy().view(np.uint64), counted.column("n").to_numpy()
+    order = np.argsort(common)
+    return _met(sets.select("vid", "label", "shingles"), partial(_prefixes, common=common[order], often=often[order], least=least), partial(_meeting, least=least))
+
+
 def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and group (the least doc_id) of each row of docs (doc_id, text; others are ignored).
 
-    Texts that are near copies share a group: candidates have word fingerprints of WIDE_BITS bits that are
-    close in two of four segments and in 16 bits at most over all, and are verified to have
-    width-word shingles of a Jaccard similarity of least or more. Equal word sequences are
-    always grouped, blank and null texts too.
+    Texts whose sets of width-word shingles have a Jaccard similarity of least or more share a group, as do
+    those that such pairs connect. Every pair is decided on the whole sets. Candidates are close word
+    fingerprints first, which gather most copies; then all pairs from different groups of those that
+    share one of their first shingles, so no pair is lost. Equal word sequences are always grouped, blank and null texts too.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
-    rows = stored(raw.mapInArrow(partial(_sketched, width=width), "doc_id long, vid long, lo long, hi long, shingles binary"), "sketches")
-    texts = rows.groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    schema = "doc_id long, vid long, lo long, hi long, counts binary, shingles binary"
+    rows = stored(raw.mapInArrow(partial(_sketched, width=width), schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    texts = rows.groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("rid").alias("rid"))
     texts = stored(texts, "texts")
-    found = stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMITS), "found")
-    total = found.count()
-    sketches = rows.select("vid", "shingles").dropDuplicates(["vid"])
-
-    def with_sketch(edges: DataFrame, end: str, name: str) -> DataFrame:
-        degree = edges.groupBy(end).agg(F.count("*").alias("degree"))
-        facts = degree.join(sketches, degree[end] == sketches["vid"]).select(end, "degree", F.col("shingles").alias(name))
-        return lookup(edges, end, facts, F.col("degree"), total).drop("degree")
-
-    pairs = with_sketch(stored(with_sketch(found, "a", "one"), "half"), "b", "other").select("a", "b", "one", "other")
-    roots = components(pairs.mapInArrow(partial(_verified, least=least), "a long, b long"))
+    repeats = stored(rows.select("rid").join(texts.select("rid"), "rid", "left_anti"), "repeats")
+    sets = rows.select("rid", "vid", "counts", "shingles").join(repeats, "rid", "left_anti").drop("rid")
+
+    def paired(edges: DataFrame, column: str) -> DataFrame:
+        """edges (a, b) with column of both ends as one and other."""
+        total = edges.count()
+        for end, name in (("a", "one"), ("b", "other")):
+            degree = edges.groupBy(end).agg(F.count("*").alias("degree"))
+            facts = sets.select(F.col("vid").alias(end), F.col(column).alias(name)).join(degree, end)
+            edges = stored(lookup(edges, end, facts, F.col("degree"), total).drop("degree"), "half")
+        return edges.select("a", "b", "one", "other")
+
+    def similar(edges: DataFrame) -> DataFrame:
+        whole = paired(edges, "shingles")
+        found = stored(whole.mapInArrow(partial(_verified, least=least), "a long, b long"), "similar")
+        drop_stored(whole)
+        return found
+
+    roots = components(similar(stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMITS), "found")))
+    labelled = sets.join(roots.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", F.coalesce("root", "vid").alias("label"), "shingles")
+    met = stored(prefix_links(labelled, least), "met")
+    more = similar(stored(paired(met, "counts").mapInArrow(partial(_possible, least=least), "a long, b long"), "possible"))
+    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
     labels = texts.join(roots, texts["vid"] == roots["vertex"], "left").select("vid", "rep", F.coalesce("root", "vid").alias("root"))
     labels = stored(labels, "labels")
     named = labels.groupBy("root").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
