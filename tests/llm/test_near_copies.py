@@ -37,3 +37,15 @@ def test_appended_and_truncated_copies_are_all_found(spark):
         share = 0.802 + 0.001 * (k % 40)
         texts += [" ".join(base), " ".join(base + words(rng, int(len(base) * (1 / share - 1)))) if k % 2 else " ".join(base[: int(len(base) * share) + 2])]
     assert check(spark, texts) >= 70
+
+
+def test_copies_on_one_template_are_found(spark):
+    """Pages of one template are no copies of each other, but some have a copy."""
+    rng = random.Random(2)
+    template = words(rng, 300)
+    texts = []
+    for _ in range(60):
+        page = template[:150] + words(rng, 45) + template[150:]
+        copy = page + words(rng, 60)
+        texts += [" ".join(page), " ".join(copy)]
+    assert check(spark, texts) >= 50
