@@ -49,3 +49,13 @@ def test_copies_on_one_template_are_found(spark):
         copy = page + words(rng, 60)
         texts += [" ".join(page), " ".join(copy)]
     assert check(spark, texts) >= 50
+
+
+def test_long_texts_are_decided_on_whole_sets(spark):
+    rng = random.Random(3)
+    texts = []
+    for k in range(60):
+        base = words(rng, rng.randrange(600, 1500))
+        share = (0.785, 0.795, 0.803, 0.812)[k % 4]
+        texts += [" ".join(base), " ".join(base + words(rng, int((len(base) - 4) * (1 / share - 1))))]
+    assert 25 <= check(spark, texts) <= 35
