@@ -7,6 +7,9 @@ item's windows match if the values in the placeholders are consistent: along one
 values of the item stand for equal values of the document and different ones for
 different ones. So an item is found verbatim and with its numbers, names or units exchanged.
 
+A capitalised word that begins a sentence may be a name or not: windows over such words go in both readings, on
+both sides. Items without any window (short or dense in numbers) are found by their whole sequence of words, values included.
+
 Only DataFrame functions run. The item side is broadcast in blocks of BLOCK windows at
 most, with one pass over the documents for each block, whatever the benchmark's size.
 """
@@ -19,23 +22,33 @@ from pyspark.sql import functions as F
 from fernweave.llm.common import fresh, stored, table
 
 WIDTH = 5
-#: a match has this share of an item's windows, or a run of RUN words
+#: a match has this share of an item's windows, or a run of RUN words along one alignment
 SHARE, RUN = 0.5, 13
 #: windows with fewer plain words tell nothing
 PLAIN_WORDS = 3
 BLOCK = 1 << 18
+#: items without windows are joined by so many first words at most
+FIRST = 4
+#: fixed values: words that begin sentences and are no names
+OPENERS = (
+    "A", "An", "The", "This", "That", "These", "Those", "There", "Here", "He", "She", "It", "We", "You", "They", "His", "Her", "Its", "Our", "Your", "Their", "My", "How", "What", "When", "Where", "Which",
+    "Who", "Whose", "Why", "If", "In", "On", "At", "By", "For", "From", "To", "Of", "With", "Without", "After", "Before", "During", "While", "As", "And", "But", "Or", "So", "Then", "Now", "Each", "Every", "All",
+    "Some", "Many", "Most", "Is", "Are", "Was", "Were", "Do", "Does", "Did", "Can", "Could", "Will", "Would", "Should", "Has", "Have", "Had", "Not", "No", "Yes", "Let", "Find", "Compute", "Solve", "Evaluate",
+)
 #: fixed values
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "miles", "mile", "feet", "ft", "inches", "pounds", "lbs", "dollars", "euros", "cents", "percent", "mph", "degrees")
 
-_NUMBER, _NAME, _UNIT = "#", "§", "¤"
+_NUMBER, _NAME, _UNIT, _FIRST = "#", "§", "¤", "¶"
 
 
 def _marked(text: Column) -> Column:
-    """Words of the text; names begin with § and units with ¤, numbers with their first digit."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", _NAME)
+    """Words of the text; names begin with § and units with ¤, numbers with their first digit, and what may be a name with ¶."""
+    text = F.translate(F.coalesce(text, F.lit("")), _FIRST, " ")
+    text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", _NAME)
+    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_{_NAME}])(?=\p{{Lu}}\p{{Ll}})(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))", _FIRST)
     text = F.regexp_replace(F.lower(text), r"(?<=[0-9])[.,](?=[0-9])", "_")
     text = F.regexp_replace(text, rf"(?<=[0-9])\s?(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
-    return F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}_]+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}{_FIRST}_]+"), lambda w: w != "")
 
 
 def _template(words: Column) -> Column:
@@ -46,9 +59,18 @@ def _template(words: Column) -> Column:
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """Adds at (0 first) and window, the hash of the template words from there."""
+    """For rows with marked words, adds words as read, template, at (0 first) and window, the hash of the template words from there.
+
+    Windows over words that may be names come twice, as words and as names.
+    """
+    maybe = F.exists("marked", lambda w: w.startswith(_FIRST))
+    rows = rows.withColumn("named", F.explode(F.when(maybe, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    read = F.when(F.col("named"), F.transform("marked", lambda w: F.translate(w, _FIRST, _NAME))).otherwise(F.transform("marked", lambda w: F.translate(w, _FIRST, "")))
+    rows = rows.withColumn("words", read).withColumn("template", _template(F.col("words")))
     last = F.size("template") - width
-    spread = rows.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    spread = rows.withColumn("at", F.explode(starts))
+    spread = spread.filter(~F.col("named") | F.exists(_slots(F.col("marked"), width, F.col("at")), lambda w: w.startswith(_FIRST)))
     return spread.withColumn("window", F.xxhash64(*[F.col("template")[F.col("at") + k] for k in range(width)]))
 
 
@@ -58,25 +80,59 @@ def _slots(words: Column, width: int, at: Column) -> Column:
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """Distinct windows of the items that have enough plain words; an item of fewer words than width has none."""
-    rows = items.filter("item_id IS NOT NULL").select("item_id", _marked(F.col("text")).alias("words"))
-    rows = _windows(rows.withColumn("template", _template(F.col("words"))), width)
+    rows = items.filter("item_id IS NOT NULL").select("item_id", _marked(F.col("text")).alias("marked"))
+    rows = _windows(rows, width)
     plain = F.size(F.filter(_slots(F.col("template"), width, F.col("at")), lambda w: ~w.isin(_NUMBER, _NAME, _UNIT)))
     rows = rows.filter(plain >= PLAIN_WORDS)
     return rows.select("item_id", F.col("at").alias("item_at"), "window", _slots(F.col("words"), width, F.col("at")).alias("item_words"))
 
 
+def _bare(words: Column) -> Column:
+    return F.transform(words, lambda w: F.translate(w, _NAME + _UNIT + _FIRST, ""))
+
+
+def _whole(docs: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """doc_id and item_id where a document has all words of an item that has no window in wanted; None if there are no such items."""
+    rest = items.filter("item_id IS NOT NULL").join(wanted.select("item_id").distinct(), "item_id", "left_anti")
+    rest = rest.select("item_id", _bare(_marked(F.col("text"))).alias("item_words")).filter(F.size("item_words") > 0).distinct()
+    rest = stored(rest.withColumn("n", F.least(F.size("item_words"), F.lit(FIRST))).withColumn("key", F.xxhash64(F.slice(F.col("item_words"), F.lit(1), F.col("n")))), "whole-items")
+    lengths = sorted(r.n for r in rest.select("n").distinct().collect())
+    if not lengths:
+        return None
+    blocks = max(1, -(-rest.count() // BLOCK))
+    rows = docs.select("doc_id", _bare(_marked(F.col("text"))).alias("words")).filter(F.size("words") > 0)
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words"))))
+    rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).withColumn("key", F.xxhash64(F.slice(F.col("words"), F.col("at"), F.col("n"))))
+    hits = None
+    for block in range(blocks):
+        part = rest.filter(F.pmod("key", F.lit(blocks)) == block)
+        found = rows.join(F.broadcast(part), ["key", "n"]).filter(F.slice(F.col("words"), F.col("at"), F.size("item_words")) == F.col("item_words")).select("doc_id", "item_id")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.distinct()
+
+
+def _longest(ats: Column, width: int) -> Column:
+    """Most words in a row that windows beginning at ats cover."""
+
+    def step(a: Column, at: Column) -> Column:
+        start = F.when(at - a["last"] <= width, a["start"]).otherwise(at)
+        return F.struct(at.alias("last"), start.alias("start"), F.greatest(a["best"], at - start + width).alias("best"))
+
+    zero = F.struct(F.lit(-(1 << 30)).alias("last"), F.lit(0).alias("start"), F.lit(0).alias("best"))
+    return F.aggregate(F.array_sort(ats), zero, step, lambda a: a["best"])
+
+
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
     """doc_id, item_id, share of the item's windows, and changed: the number of its values that differ.
 
-    docs has doc_id and text, items item_id and text. Null and empty texts match nothing, nor do
-    items with fewer than width words or with hardly any plain word. Documents that share a
+    docs has doc_id and text, items item_id and text. Null and empty texts match nothing. Items with
+    fewer than width words or with hardly any plain word match word for word only, whatever their length. Documents that share a
     doc_id are taken together; a null doc_id is an id like any other.
     """
     wanted = stored(item_windows(items, width), "item-windows")
-    per_item = wanted.groupBy("item_id").agg(F.count("*").alias("windows"))
+    per_item = wanted.groupBy("item_id").agg(F.countDistinct("item_at").alias("windows"))
     blocks = max(1, -(-wanted.count() // BLOCK))
-    rows = docs.select("doc_id", _marked(F.col("text")).alias("words"))
-    rows = _windows(rows.withColumn("template", _template(F.col("words"))), width)
+    rows = _windows(docs.select("doc_id", _marked(F.col("text")).alias("marked")), width)
     hits = None
     for block in range(blocks):
         part = wanted.filter(F.pmod("window", F.lit(blocks)) == block)
@@ -91,10 +147,14 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
     taken = F.size(F.array_distinct(F.transform("pairs", lambda p: p["doc_words"])))
     consistent = (F.size("pairs") == given) & (F.size("pairs") == taken)
     changed = F.size(F.filter("pairs", lambda p: p["item_words"] != p["doc_words"]))
-    lines = lines.filter(consistent).withColumn("changed", changed)
-    both = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("held"), F.max("changed").alias("changed"))
+    lines = lines.filter(consistent).withColumn("changed", changed).withColumn("run", _longest(F.col("ats"), width))
+    both = lines.groupBy("doc_id", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("held"), F.max("run").alias("run"), F.max("changed").alias("changed")
+    )
     joined = both.join(per_item, "item_id").withColumn("share", F.col("held") / F.col("windows"))
-    return joined.filter((F.col("share") >= share) | (F.col("held") >= run - width + 1)).select("doc_id", "item_id", "share", "changed")
+    found = joined.filter((F.col("share") >= share) | (F.col("run") >= run)).select("doc_id", "item_id", "share", "changed")
+    whole = _whole(docs, items, wanted)
+    return found if whole is None else found.unionByName(whole.select("doc_id", "item_id", F.lit(1.0).alias("share"), F.lit(0).alias("changed")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
