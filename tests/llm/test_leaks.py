@@ -20,3 +20,9 @@ def test_names_that_begin_sentences_are_exchanged(spark):
         4: items[1].lower().replace("anna", "Anna").replace("ben", "Ben"),
     }
     assert found(spark, docs, items) == {(1, 1), (2, 2), (4, 1)}
+
+
+def test_items_without_windows_are_found_word_for_word(spark):
+    items = {1: "What is 17 * 23?", 2: "Solve 3x + 5 = 20.", 3: "Compute 12 + 35 * 7 - 4.", 4: "Evaluate 12 km / 4 h + 3 km/h", 5: "", 6: None}
+    docs = {k: f"Here it comes. {t} And so on." for k, t in items.items() if t} | {11: "What is 17 * 24?", 12: "Solve 3x + 5", 13: "", 14: None}
+    assert found(spark, docs, items) == {(k, k) for k in (1, 2, 3, 4)}
