@@ -1,5 +1,7 @@
 """Benchmark items that windows of one reading or scattered windows tell wrongly."""
 
+import random
+
 from fernweave.llm import decontam
 
 
@@ -26,3 +28,12 @@ def test_items_without_windows_are_found_word_for_word(spark):
     items = {1: "What is 17 * 23?", 2: "Solve 3x + 5 = 20.", 3: "Compute 12 + 35 * 7 - 4.", 4: "Evaluate 12 km / 4 h + 3 km/h", 5: "", 6: None}
     docs = {k: f"Here it comes. {t} And so on." for k, t in items.items() if t} | {11: "What is 17 * 24?", 12: "Solve 3x + 5", 13: "", 14: None}
     assert found(spark, docs, items) == {(k, k) for k in (1, 2, 3, 4)}
+
+
+def test_scattered_windows_are_no_run(spark):
+    rng = random.Random(4)
+    item = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]}" for k in range(600)]
+    parts = [item[k : k + 5] for k in range(0, 600, 40)]
+    rng.shuffle(parts)
+    scattered = " and yet again ".join(" ".join(p) for p in parts)
+    assert found(spark, {1: scattered, 2: "so " + " ".join(item[100:113]) + " too", 3: "so " + " ".join(item[100:112]) + " too"}, {7: " ".join(item)}) == {(2, 7)}
