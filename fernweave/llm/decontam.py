@@ -58,33 +58,37 @@ def _template(words: Column) -> Column:
     return F.transform(words, word)
 
 
-def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """For rows with marked words, adds words as read, template, at (0 first) and window, the hash of the template words from there.
+def _read(as_: str) -> Column:
+    return F.transform("marked", lambda w: F.translate(w, _FIRST, as_))
 
-    Windows over words that may be names come twice, as words and as names.
-    """
-    maybe = F.exists("marked", lambda w: w.startswith(_FIRST))
-    rows = rows.withColumn("named", F.explode(F.when(maybe, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    read = F.when(F.col("named"), F.transform("marked", lambda w: F.translate(w, _FIRST, _NAME))).otherwise(F.transform("marked", lambda w: F.translate(w, _FIRST, "")))
-    rows = rows.withColumn("words", read).withColumn("template", _template(F.col("words")))
-    last = F.size("template") - width
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    spread = rows.withColumn("at", F.explode(starts))
-    spread = spread.filter(~F.col("named") | F.exists(_slots(F.col("marked"), width, F.col("at")), lambda w: w.startswith(_FIRST)))
-    return spread.withColumn("window", F.xxhash64(*[F.col("template")[F.col("at") + k] for k in range(width)]))
 
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """For rows with marked words, at (0 first), window, the hash of the template words from there, words of the window as read and plain, how many are.
 
-def _slots(words: Column, width: int, at: Column) -> Column:
-    return F.slice(words, at + 1, F.lit(width))
+    Windows over words that may be names come twice, as words and as names. Rows hold their window alone, not the text.
+    """
+    others = [c for c in rows.columns if c != "marked"]
+    last = F.size("marked") - width
+    none = F.array().cast("array<int>")
+    places = F.filter(F.transform("marked", lambda w, k: F.when(w.startswith(_FIRST), k)), lambda k: k.isNotNull())
+    over = F.array_distinct(F.flatten(F.transform(places, lambda k: F.sequence(F.greatest(k - width + 1, F.lit(0)), F.least(k, last)))))
+    every = rows.select(*others, "marked", F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none).alias("starts"))
+    named = rows.select(*others, "marked", F.when(last >= 0, over).otherwise(none).alias("starts"))
+    made = None
+    for part, as_ in ((every, ""), (named, _NAME)):
+        part = part.select(*others, "starts", _read(as_).alias("words"))
+        part = part.withColumn("template", _template(F.col("words")))
+        spread = F.transform("starts", lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, F.lit(width)).alias("words"), F.slice("template", at + 1, F.lit(width)).alias("template")))
+        part = part.select(*others, F.inline(spread))
+        made = part if made is None else made.unionByName(part)
+    plain = F.size(F.filter("template", lambda w: ~w.isin(_NUMBER, _NAME, _UNIT)))
+    return made.select(*others, "at", F.xxhash64(*[F.col("template")[k] for k in range(width)]).alias("window"), "words", plain.alias("plain"))
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """Distinct windows of the items that have enough plain words; an item of fewer words than width has none."""
-    rows = items.filter("item_id IS NOT NULL").select("item_id", _marked(F.col("text")).alias("marked"))
-    rows = _windows(rows, width)
-    plain = F.size(F.filter(_slots(F.col("template"), width, F.col("at")), lambda w: ~w.isin(_NUMBER, _NAME, _UNIT)))
-    rows = rows.filter(plain >= PLAIN_WORDS)
-    return rows.select("item_id", F.col("at").alias("item_at"), "window", _slots(F.col("words"), width, F.col("at")).alias("item_words"))
+    rows = _windows(items.filter("item_id IS NOT NULL").select("item_id", _marked(F.col("text")).alias("marked")), width)
+    return rows.filter(F.col("plain") >= PLAIN_WORDS).select("item_id", F.col("at").alias("item_at"), "window", F.col("words").alias("item_words"))
 
 
 def _bare(words: Column) -> Column:
@@ -136,7 +140,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
     hits = None
     for block in range(blocks):
         part = wanted.filter(F.pmod("window", F.lit(blocks)) == block)
-        found = rows.join(F.broadcast(part), "window").select("doc_id", "item_id", "at", "item_at", _slots(F.col("words"), width, F.col("at")).alias("doc_words"), "item_words")
+        found = rows.join(F.broadcast(part), "window").select("doc_id", "item_id", "at", "item_at", F.col("words").alias("doc_words"), "item_words")
         hits = found if hits is None else hits.unionByName(found)
     # one row for each alignment first; its values are few, an item's length at most
     pairs = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].rlike(rf"^[0-9{_NAME}{_UNIT}]"))
