@@ -20,11 +20,11 @@ from pyspark.sql.window import Window
 
 from fernweave.llm import rangecoder
 from fernweave.llm.common import batches_of, shared_dir, size_of, table
-from fernweave.llm.tokens import TOKENIZER, pretokens, vocabulary_path
+from fernweave.llm.tokens import TOKENIZER, pieces, vocabulary_path
 
 END_ID = 1
 #: ids of a frame at most (but for a longer document), and bytes of input that a task gets about
-FRAME_IDS, TASK_BYTES = rangecoder.LANES * rangecoder.BLOCK, 16 << 20
+FRAME_IDS, TASK_BYTES = rangecoder.BLOCK, 16 << 20
 #: decoded documents handed on at a time
 ROWS = 4096
 
@@ -32,7 +32,7 @@ SCHEMA = "part int, frame int, n_ids long, doc_ids array<long>, sizes array<long
 
 
 def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    memo, number, count = pretokens(tokenizer), 0, 0
+    memo, number, count = pieces(tokenizer), 0, 0
     end = np.array([end_id], "<u4").tobytes()
     doc_ids: list[int | None] = []
     sizes: list[int] = []
@@ -52,10 +52,10 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
         for doc_id, value in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             ids = np.frombuffer(memo.ids(value.as_py() or b"") + end, "<u4")
             if int(ids.max()) > rangecoder.MAX_ID:
-                raise ValueError("the format holds ids of 16 bits")
+                raise ValueError("the format holds ids of 18 bits")
             doc_ids.append(doc_id)
             sizes.append(len(ids))
-            held.append(ids.astype(np.uint16))
+            held.append(ids)
             count += len(ids)
             if count >= FRAME_IDS:
                 yield frame(part)
@@ -68,13 +68,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
     """Write the ids of docs (doc_id, text; other columns are ignored) to path.
 
     A null text counts as empty and is written as its end id alone. Null ids come first; rows
-    that share an id are written one after another, in no set order. An empty table gives an
-    empty dataset. No special tokens are added; special strings in texts are theirs.
+    that share an id are written one after another in order of their texts, so reruns agree. A very long text makes its
+    frame longer, in blocks as long as others. An empty table gives an empty dataset. No special tokens are added; special
+    strings in texts are theirs.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
     size = size_of(docs)
     parts = min(1 << 16, max(1, -(-size // TASK_BYTES)))
-    ordered = raw.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = raw.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("data").asc_nulls_first())
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "data")
     with batches_of(docs.sparkSession, 1000):
         ordered.mapInArrow(lambda it: _frames(it, tokenizer, end_id), SCHEMA).write.parquet(path)
@@ -101,7 +102,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Decode a dataset: doc_id, start (ids before the document), n_tokens and ids_crc32 (of 32-bit ids)."""
     frames = spark.read.schema(SCHEMA).parquet(path)
-    # one row for each frame of up to 16 million ids
+    # one row for each frame of up to BLOCK ids or one document
     before = Window.orderBy("part", "frame").rowsBetween(Window.unboundedPreceding, -1)
     offsets = frames.select("part", "frame", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("offset"))
     schema = "part int, frame int, doc_id long, local long, n_tokens long, ids_crc32 long"

@@ -1,17 +1,18 @@
-"""Adaptive context-mixing range coder for token ids, run over many blocks at a time.
+"""Adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks of BLOCK; each block starts from an empty model and has its own
-CRC-32, so any block can be decoded alone. Numpy runs the same step of all blocks (lanes) at once.
+Ids are cut into blocks. A block starts from an empty model, has its own CRC-32 and is decoded without any
+other. Within it, up to LANES lanes of consecutive ids are coded at once by numpy, each with a range coder of its
+own; all lanes share the block's model, which learns from every lane after each step.
 
-The order-2 context predicts one id and the order-1 context another: those that came there last.
-What is coded first is a class: the order-2 prediction holds, the order-1 prediction holds, or
-neither. Its frequencies are a mix of three adaptive counts: by the confidence of both
-predictions, by the order-1 context, and by nothing. An id that was not predicted follows by
-order 0: a frame's ids are numbered by falling frequency, and the number is coded as
-its half octave, adaptively, and its place in that, evenly.
+The id is predicted in three orders. Order 2: the id that last followed the same two ids, with a confidence that
+grows by hits. Order 1: how often each id followed the last id; the most frequent ids have a row of their own and the others
+share one. Order 0: how often each id came so far. They are mixed by weights that learn from what was coded. Orders 1
+and 0 are summed by weights that depend on how full the row of order 1 is, each moved by the share that the order had in the
+probability of the ids that came. Order 2 is weighed against this sum, and against ids that are new in the block, by its
+confidence and its last hits.
 
-The coder is a carry-less range coder with 64-bit low and range that moves 32-bit words. All
-arithmetic is on integers, so files read the same on any machine.
+Weights and rows use IEEE doubles, each operation rounded once, and sums of whole numbers or in a set order; the coder
+itself has integers only. So a block reads the same on any machine.
 """
 
 from __future__ import annotations
@@ -21,241 +22,322 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"FWR1"
-BLOCK = 4096
-#: lanes coded at once, which bounds memory
-LANES = 1024
-ORDER2, ORDER1, CLASSES1 = 1024, 512, 64
-#: bits that a place in a half octave takes at most
-PLACE_BITS = np.uint64(15)
-MAX_ID = (1 << 16) - 1
-#: the order-0 frequencies are renewed after so many steps
-RENEW = 64
-#: what an id adds to its order-0 frequency; with BLOCK ids and PLACE_BITS a total stays under 2**30
-STEP0 = 3
-_TOP, _BOT = np.uint64(1 << 32), np.uint64(1 << 30)
-_WORD = np.uint64(32)
-_LOW30 = np.uint64((1 << 30) - 1)
-
-
-def _octaves(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Half octave of each of size ranks; first rank and bits of the place of each half octave."""
-    rank = np.arange(1, size + 1)
-    exponent = np.floor(np.log2(rank)).astype(np.int64)
-    bucket = np.where(exponent == 0, 0, 2 * exponent - 1 + (rank >> np.maximum(exponent - 1, 0) & 1))
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    bits = np.maximum(exponent[first] - 1, 0).astype(np.uint64)
-    return bucket, first, bits
+MAGIC = b"FWR2"
+#: ids of a block, lanes of a block, and ids of a lane at least
+BLOCK, LANES, LEAST_IDS = 1 << 22, 4096, 512
+MAX_ID = (1 << 18) - 1
+#: cells of all order-1 rows together, rows at most, bits of a place in the order-2 table
+CELLS, ROWS, TABLE2 = 1 << 20, 1024, 18
+#: parts that a class's and an id's probability have
+CLASS_BITS, ID_BITS = 15, 20
+#: rows are made anew when the steps have grown by this much
+RENEW = 1.8
+#: a row's frequencies are numbers of so many bits
+_ROW_BITS = ID_BITS + 1
+#: levels of how often a row's ids came on average, in sixteenths
+_FULLNESS = np.array([b << k for k in range(4, 20) for b in (4, 5, 6, 7)]) >> 2
+#: classes: hit by order 2, known in the block, new in the block
+_KINDS = 3
+#: confidences of order 2 times its last three hits
+_CONTEXTS = 8 * 8
+_PARTS = np.uint64(CLASS_BITS + ID_BITS)
+_WORD, _TOP, _LEAST = np.uint64(16), np.uint64(48), np.uint64(1 << 48)
 
 
 class _Model:
-    """Predictions and counts of n lanes."""
-
-    def __init__(self, n: int, buckets: int) -> None:
-        lane = np.arange(n, dtype=np.int64)
-        self.at2, self.at1 = lane * ORDER2, lane * ORDER1
-        self.pred2, self.pred1 = np.zeros(n * ORDER2, np.uint16), np.zeros(n * ORDER1, np.uint16)
-        self.conf2, self.conf1 = np.zeros(n * ORDER2, np.uint8), np.zeros(n * ORDER1, np.uint8)
-        self.trust, self.given1, self.plain = (np.ones((n * k, 3), np.uint32) for k in (32, CLASSES1, 1))
-        self.lane32, self.lane1, self.lane = lane * 32, lane * CLASSES1, lane
-        self.before, self.last = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.count = np.ones((n, buckets), np.uint32)
-        self.buckets = buckets
-
-    def renew(self) -> None:
-        self.cum = np.zeros((len(self.lane), self.buckets + 1), np.uint64)
-        np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
+    """Predictions of the ids of all lanes at a step; columns holds the steps that were coded so far."""
+
+    def __init__(self, columns: np.ndarray, size: int) -> None:
+        self.columns, self.size = columns, size
+        self.lanes = columns.shape[1]
+        self.step, self.due, self.counted = 0, 1, 0
+        self.two, self.last = np.zeros(self.lanes, np.int64), np.zeros(self.lanes, np.int64)
+        self.hits = np.zeros(self.lanes, np.int64)
+        self.table2 = np.zeros(1 << TABLE2, np.int32)
+        self.classes = np.tile(np.array([2, 12, 2], np.int64), (_CONTEXTS, 1))
+        self.new_bits = ID_BITS - max(1, (size - 1).bit_length())
+        self.learned = np.ones((len(_FULLNESS) + 1, 2))
+        # ids are numbered as they come; the id before the first is number 0
+        self.seen, self.at_of = np.empty(0, np.int64), np.full(size, -1, np.int64)
+        self.count = np.empty(0, np.int64)
+        # with a step of starts in front
+        self.numbers = np.zeros(columns.size + self.lanes, np.int64)
+        self.old: tuple | None = None
+        self._rows()
+        self._weights()
+
+    def _mixed(self, begin: int, end: int) -> None:
+        """Move the weights of orders 1 and 0 by their shares in the probability of ids that came, of 2 ** 16 or so ids at most."""
+        row_at, n, pairs, total, plain, level = self.old
+        every = max(1, end - begin >> 16)
+        at, before = self.numbers[begin + self.lanes : end + self.lanes : every], self.numbers[begin:end:every]
+        known = (at < n) & (before < n)
+        at, row = at[known], row_at.take(before[known])
+        level = level.take(row)
+        weight = (self.learned[:, 0] / self.learned.sum(1)).take(level)
+        one = weight * pairs.take(row * n + at) / total.take(row)
+        share = one / (one + (1 - weight) * plain.take(at))
+        self.learned[:, 0] += np.bincount(level, share, len(self.learned))
+        self.learned[:, 1] += np.bincount(level, 1 - share, len(self.learned))
+
+    def _rows(self) -> None:
+        """Count the ids of all steps so far into rows of cumulative frequencies."""
+        begin, end = self.counted, self.step * self.lanes
+        fresh = self.columns[begin // self.lanes : self.step].ravel()
+        counts = np.bincount(fresh, minlength=self.size)
+        new = np.flatnonzero((counts > 0) & (self.at_of < 0))
+        self.at_of[new] = len(self.seen) + np.arange(len(new))
+        self.seen = np.concatenate([self.seen, new])
+        n = len(self.seen)
+        self.numbers[begin + self.lanes : end + self.lanes] = self.at_of.take(fresh, mode="clip")
+        if self.old is not None:
+            self._mixed(begin, end)
+        self.count = counts[self.seen] + np.concatenate([self.count, np.zeros(len(new), np.int64)])
+        self.counted = end
+        self.width = n + 1
+        rows = max(1, min(ROWS, CELLS // self.width))
+        row_at = np.full(max(n, 1), rows - 1, np.int64)
+        row_at[np.argsort(-self.count, kind="stable")[: rows - 1]] = np.arange(min(n, rows - 1))
+        row_of = np.full(self.size, rows - 1, np.int64)
+        row_of[self.seen] = row_at[:n]
+        self.start_of = row_of * self.width
+        # rows stand one after another and each begins above the last, so that a search stays in its row
+        self.base_of = (row_of << _ROW_BITS).astype(np.uint32)
+        self.cum = np.full(rows * self.width + (1 << n.bit_length()), ~np.uint32(0), np.uint32)
+        if n:
+            cells = (row_at * n).take(self.numbers[:end], mode="clip")
+            cells += self.numbers[self.lanes : end + self.lanes]
+            pairs = np.bincount(cells, minlength=rows * n).reshape(rows, n)
+            total = np.maximum(pairs.sum(1), 1)
+            pairs = pairs.astype(np.float32)
+            plain = self.count / end
+            level = np.searchsorted(_FULLNESS, (total << 4) // np.maximum(np.count_nonzero(pairs, axis=1), 1), side="right")
+            weight = (self.learned[:, 0] / self.learned.sum(1)).take(level)
+            parts = (1 << ID_BITS) - 2 * n - 2
+            made = pairs * (weight / total * parts).astype(np.float32)[:, None]
+            made += (plain * parts).astype(np.float32) * (1 - weight).astype(np.float32)[:, None]
+            cum = self.cum[: rows * self.width].reshape(rows, self.width)
+            cum[:, 0] = 0
+            np.cumsum(made.astype(np.uint32) + np.uint32(1), axis=1, out=cum[:, 1:])
+            cum += (np.arange(rows, dtype=np.uint32) << np.uint32(_ROW_BITS))[:, None]
+            self.old = (row_at, n, pairs.reshape(-1), total, plain, level)
+
+    def _weights(self) -> None:
+        share = np.cumsum(self.classes, axis=1)
+        ends = share * ((1 << CLASS_BITS) - _KINDS) // share[:, -1:] + np.arange(1, _KINDS + 1)
+        starts = np.concatenate([np.zeros((_CONTEXTS, 1), np.int64), ends[:, :-1]], axis=1)
+        self.class_size = (ends - starts).reshape(-1).astype(np.uint64)
+        self.class_start = starts.reshape(-1).astype(np.uint64)
 
     def predict(self) -> None:
-        mixed = self.last * 40503
-        self.i1 = self.at1 + (mixed >> 3 & ORDER1 - 1)
-        self.i2 = self.at2 + ((self.before * 30011 + mixed) >> 4 & ORDER2 - 1)
-        self.p2, self.p1 = self.pred2[self.i2], self.pred1[self.i1]
-        self.k2, self.k1 = self.conf2[self.i2], self.conf1[self.i1]
-        self.row = self.lane32 + (self.k2 << 3 | self.k1 << 1 | (self.p1 == self.p2))
-        self.row1 = self.lane1 + (mixed >> 5 & CLASSES1 - 1)
-        self.freq = (self.trust[self.row] * 4 + self.given1[self.row1] + self.plain).astype(np.uint64)
-        self.first = self.freq[:, 0]
-        self.second = self.first + self.freq[:, 1]
-        self.total = self.second + self.freq[:, 2]
-
-    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.trust[self.row, kind] += 6
-        self.given1[self.row1, kind] += 4
-        self.plain[self.lane, kind] += 1
-        for hit, k, conf, pred, at, old in ((kind == 0, self.k2, self.conf2, self.pred2, self.i2, self.p2), (ids == self.p1, self.k1, self.conf1, self.pred1, self.i1, self.p1)):
-            pred[at] = np.where(hit | (k > 1), old, ids)
-            conf[at] = np.where(hit, np.minimum(k + 1, 3), k >> 1)
-        self.before, self.last = self.last, ids
-
-
-class _Encoder:
-    def __init__(self, n: int, steps: int) -> None:
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-        self.words, self.used = np.zeros((n, steps // 3 + 16), np.uint32), np.zeros(n, np.int64)
-
-    def put(self, at, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        """Code [cum, cum + freq) of total in lanes at."""
-        part = self.range[at] // total
-        low, size = self.low[at] + cum * part, part * freq
-        due = np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _BOT))
-        while len(due):
-            a, b = low[due], size[due]
-            same = (a ^ (a + b)) < _TOP
-            b = np.where(same, b, (~a + np.uint64(1)) & _LOW30)
-            lanes = due if isinstance(at, slice) else at[due]
-            where = self.used[lanes]
-            if where.max() >= self.words.shape[1]:
-                self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1])))
-            self.words[lanes, where] = (a >> _WORD).astype(np.uint32)
-            self.used[lanes] = where + 1
-            a, b = a << _WORD, b << _WORD
-            low[due], size[due] = a, b
-            due = due[((a ^ (a + b)) < _TOP) | (b < _BOT)]
-        self.low[at], self.range[at] = low, size
-
-    def finish(self) -> list[bytes]:
-        if self.used.max(initial=0) + 2 > self.words.shape[1]:
-            self.words = np.pad(self.words, ((0, 0), (0, 2)))
-        lanes = np.arange(len(self.low))
-        self.words[lanes, self.used] = (self.low >> _WORD).astype(np.uint32)
-        self.words[lanes, self.used + 1] = self.low.astype(np.uint32)
-        return [self.words[k, : self.used[k] + 2].astype("<u4").tobytes() for k in range(len(self.low))]
-
-
-class _Decoder:
-    def __init__(self, coded: list[bytes]) -> None:
-        n = len(coded)
-        words = max(len(c) // 4 for c in coded) + 2
-        self.words = np.zeros((n, words), np.uint64)
-        for k, c in enumerate(coded):
-            self.words[k, : len(c) // 4] = np.frombuffer(c, "<u4")
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-        self.code = self.words[:, 0] << _WORD | self.words[:, 1]
-        self.used = np.full(n, 2, np.int64)
-
-    def look(self, at, total: np.ndarray) -> np.ndarray:
-        self.part = self.range[at] // total
-        return np.minimum((self.code[at] - self.low[at]) // self.part, total - np.uint64(1))
-
-    def take(self, at, cum: np.ndarray, freq: np.ndarray) -> None:
-        low, size = self.low[at] + cum * self.part, self.part * freq
-        due = np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _BOT))
-        while len(due):
-            a, b = low[due], size[due]
-            same = (a ^ (a + b)) < _TOP
-            b = np.where(same, b, (~a + np.uint64(1)) & _LOW30)
-            lanes = due if isinstance(at, slice) else at[due]
-            where = np.minimum(self.used[lanes], self.words.shape[1] - 1)
-            self.code[lanes] = self.code[lanes] << _WORD | self.words[lanes, where]
-            self.used[lanes] += 1
-            a, b = a << _WORD, b << _WORD
-            low[due], size[due] = a, b
-            due = due[((a ^ (a + b)) < _TOP) | (b < _BOT)]
-        self.low[at], self.range[at] = low, size
-
-
-_ALL = slice(None)
-
-
-def _encode_lanes(ranks: np.ndarray, size: int) -> list[bytes]:
-    """ranks: a row for each lane."""
-    n, steps = ranks.shape
-    bucket_of, first, bits = _octaves(size)
-    model, out = _Model(n, len(first)), _Encoder(n, steps)
-    columns = np.ascontiguousarray(ranks.T)
+        self.slot = (self.two * 2654435761 ^ self.last * 2246822519) >> 20 & (1 << TABLE2) - 1
+        self.entry = self.table2.take(self.slot, mode="clip").astype(np.int64)
+        self.guess = self.entry >> 3
+        self.sure = self.entry & 7
+        self.context = (self.sure << 3 | self.hits) * _KINDS
+        self.start, self.base = self.start_of.take(self.last, mode="clip"), self.base_of.take(self.last, mode="clip")
+
+    def update(self, now: np.ndarray, hit: np.ndarray, chosen: np.ndarray) -> None:
+        """now: the ids; hit: where order 2 had them; chosen: context and class of each."""
+        kept = np.where(self.sure > 1, self.entry ^ self.sure ^ self.sure >> 1, now << 3)
+        self.table2[self.slot] = np.where(hit, self.entry + (self.sure < 7), kept)
+        self.hits = (self.hits << 1 | hit) & 7
+        self.two, self.last = self.last, now
+        self.classes += np.bincount(chosen, minlength=_CONTEXTS * _KINDS).reshape(-1, _KINDS) * 4
+        self.step += 1
+        if self.step < 32 or self.step % 4 == 0:
+            full = self.classes.sum(1) > 1 << 20
+            if full.any():
+                self.classes[full] = (self.classes[full] >> 1) + 1
+            self._weights()
+        if self.step >= self.due:
+            self.due = max(self.step + 1, int(self.step * RENEW))
+            self._rows()
+
+
+def _carried(words: np.ndarray, at: np.ndarray, lanes: int) -> None:
+    """Add one to the words at these places; a carry runs on through full words."""
+    while len(at):
+        words[at] += np.uint16(1)
+        at = at[words[at] == 0] - lanes
+
+
+def _encode_lanes(columns: np.ndarray, size: int) -> list[bytes]:
+    """columns: a row of ids for each step. Returns the words of each lane."""
+    steps, lanes = columns.shape
+    model = _Model(columns, size)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+    # the words stand in rows of one for each lane, the first of which takes no word; at is the next place of a lane
+    words, at = np.zeros(lanes * (steps + 8), np.uint16), np.arange(lanes, 2 * lanes)
     for step in range(steps):
-        if step % RENEW == 0:
-            model.renew()
-        now = columns[step].astype(np.int64)
+        now = columns[step]
         model.predict()
-        kind = np.where(now == model.p2, 0, np.where(now == model.p1, 1, 2))
-        cum = np.where(kind == 0, np.uint64(0), np.where(kind == 1, model.first, model.second))
-        out.put(_ALL, cum, model.freq[model.lane, kind], model.total)
-        miss = np.flatnonzero(kind == 2)
-        if len(miss):
-            bucket = bucket_of[now[miss]]
-            place = (now[miss] - first[bucket]).astype(np.uint64)
-            start = model.cum[miss, bucket]
-            freq = (model.cum[miss, bucket + 1] - start) << (PLACE_BITS - bits[bucket])
-            out.put(miss, (start << PLACE_BITS) + place * freq, freq, model.cum[miss, -1] << PLACE_BITS)
-            model.count[miss, bucket] += STEP0
-        model.update(now, kind)
-    return out.finish()
+        hit = now == model.guess
+        number = model.at_of.take(now, mode="clip")
+        known = number >= 0
+        cell = model.start + number
+        begin = model.cum.take(cell, mode="clip")
+        part = (model.cum.take(cell + 1, mode="clip") - begin).astype(np.uint64)
+        begin = (begin - model.base).astype(np.uint64)
+        if not known.all():
+            odd = np.flatnonzero(~known)
+            begin[odd], part[odd] = now[odd] << model.new_bits, 1 << model.new_bits
+        begin *= ~hit
+        part[hit] = 1 << ID_BITS
+        chosen = model.context + ~hit + ~(hit | known)
+        share = model.class_size.take(chosen, mode="clip")
+        unit = span >> _PARTS
+        add = ((model.class_start.take(chosen, mode="clip") << np.uint64(ID_BITS)) + share * begin) * unit
+        low += add
+        over = low < add
+        if over.any():
+            _carried(words, at[over] - lanes, lanes)
+        span = share * part * unit
+        # what is not due is overwritten
+        words[at] = (low >> _TOP).astype(np.uint16)
+        due = span < _LEAST
+        at += due * lanes
+        move = due.astype(np.uint64) << np.uint64(4)
+        low <<= move
+        span <<= move
+        more = np.flatnonzero(span < _LEAST)
+        while len(more):
+            words[at[more]] = (low[more] >> _TOP).astype(np.uint16)
+            at[more] += lanes
+            low[more] <<= _WORD
+            span[more] <<= _WORD
+            more = more[span[more] < _LEAST]
+        if int(at.max()) >= len(words) - 5 * lanes:
+            words = np.concatenate([words, np.zeros(len(words), np.uint16)])
+        model.update(now, hit, chosen)
+    # one word is enough: the last interval holds a number that ends in zeros
+    end = low + (_LEAST - np.uint64(1))
+    over = end < low
+    _carried(words, at[over] - lanes, lanes)
+    words[at] = (end >> _TOP).astype(np.uint16)
+    words = np.ascontiguousarray(words.reshape(-1, lanes).T)
+    return [words[k, 1:n].astype("<u2").tobytes() for k, n in enumerate((at // lanes + 1).tolist())]
 
 
 def _decode_lanes(coded: list[bytes], steps: int, size: int) -> np.ndarray:
-    n = len(coded)
-    _, first, bits = _octaves(size)
-    model, source = _Model(n, len(first)), _Decoder(coded)
-    columns = np.empty((steps, n), np.uint16)
+    lanes = len(coded)
+    words = np.zeros((lanes, max(len(c) // 2 for c in coded) + 4), np.uint64)
+    for k, c in enumerate(coded):
+        words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
+    code = words[:, 0] << _TOP | words[:, 1] << np.uint64(32) | words[:, 2] << _WORD | words[:, 3]
+    words = np.ascontiguousarray(words.T).reshape(-1)
+    at = np.arange(4 * lanes, 5 * lanes)
+    columns = np.zeros((steps, lanes), np.int64)
+    model = _Model(columns, size)
+    span = np.full(lanes, ~np.uint64(0))
+    most = np.uint64((1 << CLASS_BITS + ID_BITS) - 1)
     for step in range(steps):
-        if step % RENEW == 0:
-            model.renew()
         model.predict()
-        value = source.look(_ALL, model.total)
-        kind = (value >= model.first).astype(np.int64) + (value >= model.second)
-        cum = np.where(kind == 0, np.uint64(0), np.where(kind == 1, model.first, model.second))
-        source.take(_ALL, cum, model.freq[model.lane, kind])
-        now = np.where(kind == 0, model.p2, model.p1).astype(np.int64)
-        miss = np.flatnonzero(kind == 2)
-        if len(miss):
-            edges = model.cum[miss]
-            value = source.look(miss, edges[:, -1] << PLACE_BITS)
-            bucket = (edges[:, 1:] <= (value >> PLACE_BITS)[:, None]).sum(1)
-            rows = np.arange(len(miss))
-            start = edges[rows, bucket]
-            freq = (edges[rows, bucket + 1] - start) << (PLACE_BITS - bits[bucket])
-            place = (value - (start << PLACE_BITS)) // freq
-            source.take(miss, (start << PLACE_BITS) + place * freq, freq)
-            now[miss] = first[bucket] + place.astype(np.int64)
-            model.count[miss, bucket] += STEP0
-        model.update(now, kind)
+        unit = span >> _PARTS
+        value = np.minimum(code // unit, most)
+        place = value >> np.uint64(ID_BITS)
+        hit = place < model.class_start.take(model.context + 1, mode="clip")
+        new = place >= model.class_start.take(model.context + 2, mode="clip")
+        chosen = model.context + ~hit + new
+        first, share = model.class_start.take(chosen, mode="clip") << np.uint64(ID_BITS), model.class_size.take(chosen, mode="clip")
+        target = np.minimum((value - first) // share, np.uint64((1 << ID_BITS) - 1))
+        cell, jump, wanted = model.start, 1 << model.width.bit_length() - 1, target.astype(np.uint32) + model.base
+        while jump:
+            cell = cell + (model.cum.take(cell + jump, mode="clip") <= wanted) * jump
+            jump >>= 1
+        begin = model.cum.take(cell, mode="clip")
+        part = (model.cum.take(cell + 1, mode="clip") - begin).astype(np.uint64)
+        begin = (begin - model.base).astype(np.uint64)
+        now = model.seen.take(cell - model.start, mode="clip") if len(model.seen) else np.zeros(lanes, np.int64)
+        if new.any():
+            odd = np.flatnonzero(new)
+            now[odd] = np.minimum(target[odd].astype(np.int64) >> model.new_bits, size - 1)
+            begin[odd], part[odd] = now[odd] << model.new_bits, 1 << model.new_bits
+        now = np.where(hit, model.guess, now)
+        begin *= ~hit
+        part[hit] = 1 << ID_BITS
+        code -= (first + share * begin) * unit
+        span = share * part * unit
+        due = span < _LEAST
+        move = due.astype(np.uint64) << np.uint64(4)
+        code = code << move | words.take(at, mode="clip") * due
+        at += due * lanes
+        span <<= move
+        more = np.flatnonzero(span < _LEAST)
+        while len(more):
+            code[more] = code[more] << _WORD | words.take(at[more], mode="clip")
+            at[more] += lanes
+            span[more] <<= _WORD
+            # a damaged lane may have no interval left
+            span[more[span[more] == 0]] = _LEAST
+            more = more[span[more] < _LEAST]
         columns[step] = now
-    return columns.T
-
-
-def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
-    """A frame: magic, counts, ids by falling frequency, size and CRC-32 of each block, then the blocks."""
-    if len(ids) and int(ids.max()) > MAX_ID:
-        raise ValueError("ids of more than 16 bits")
-    if block > BLOCK:
-        raise ValueError("blocks too long for the coder's totals")
-    ids = ids.astype(np.uint16, copy=False)
-    block = max(1, min(block, len(ids)))
-    count = -(-len(ids) // block)
-    seen = np.bincount(ids, minlength=1)
-    by_rank = np.argsort(-seen, kind="stable")[: max(1, np.count_nonzero(seen))].astype(np.uint16)
-    rank_of = np.zeros(MAX_ID + 1, np.uint16)
-    rank_of[by_rank] = np.arange(len(by_rank))
-    whole = np.zeros(count * block, np.uint16)
-    whole[: len(ids)] = rank_of[ids]
-    whole = whole.reshape(count, block)
-    coded: list[bytes] = []
-    for at in range(0, count, lanes):
-        coded += _encode_lanes(whole[at : at + lanes], len(by_rank))
-    sums = [zlib.crc32(whole[k].astype("<u2").tobytes()) for k in range(count)]
-    table = b"".join(struct.pack("<II", len(c), s) for c, s in zip(coded, sums, strict=True))
-    return b"".join([MAGIC, struct.pack("<QIII", len(ids), block, len(by_rank), count), by_rank.astype("<u2").tobytes(), table, *coded])
-
-
-def decode(frame: bytes, lanes: int = LANES) -> np.ndarray:
-    """The ids of a frame; ValueError if it is damaged."""
-    if frame[:4] != MAGIC:
+        model.update(now, hit, chosen)
+    return columns
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """Numbers of ids, size of the vocabulary, lanes and CRC-32 of the ids, then each lane's number of words, compressed, and the lanes."""
+    n, size = len(ids), int(ids.max(initial=0)) + 1
+    if size - 1 > MAX_ID:
+        raise ValueError("ids of more than 18 bits")
+    if n > BLOCK:
+        raise ValueError("too many ids for a block")
+    lanes = max(1, min(LANES, n // LEAST_IDS))
+    steps = -(-n // lanes)
+    whole = np.full(lanes * steps, ids[-1] if n else 0, np.int64)
+    whole[:n] = ids
+    coded = _encode_lanes(np.ascontiguousarray(whole.reshape(lanes, steps).T), size) if n else []
+    lengths = zlib.compress(np.array([len(c) // 2 for c in coded], "<u2").tobytes(), 9)
+    return b"".join([struct.pack("<IIIII", n, size, len(coded), zlib.crc32(whole[:n].astype("<u4").tobytes()), len(lengths)), lengths, *coded])
+
+
+def decode_block(block: bytes) -> np.ndarray:
+    """The ids of one block; ValueError if it is damaged."""
+    damaged = ValueError("block is damaged")
+    if len(block) < 20:
+        raise damaged
+    n, size, lanes, check, packed = struct.unpack_from("<IIIII", block)
+    if n > BLOCK or not 0 < size <= MAX_ID + 1 or lanes > LANES or bool(n) != bool(lanes):
+        raise damaged
+    try:
+        lengths = 2 * np.frombuffer(zlib.decompress(block[20 : 20 + packed]), "<u2").astype(np.int64)
+    except zlib.error:
+        raise damaged from None
+    ends = 20 + packed + np.cumsum(lengths)
+    if len(lengths) != lanes or lanes and int(ends[-1]) != len(block):
+        raise damaged
+    if not n:
+        return np.empty(0, np.uint32)
+    coded = [block[e - m : e] for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    ids = _decode_lanes(coded, -(-n // lanes), size).T.reshape(-1)[:n].astype(np.uint32)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != check:
+        raise damaged
+    return ids
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """A frame: magic, number of blocks, CRC-32 of their sizes, the sizes, and the blocks."""
+    blocks = [encode_block(ids[at : at + block]) for at in range(0, len(ids), block)]
+    sizes = np.array([len(b) for b in blocks], "<u4").tobytes()
+    return b"".join([MAGIC, struct.pack("<II", len(blocks), zlib.crc32(sizes)), sizes, *blocks])
+
+
+def blocks_of(frame: bytes) -> list[bytes]:
+    """The blocks of a frame, each of which decode_block() takes alone."""
+    if frame[:4] != MAGIC or len(frame) < 12:
         raise ValueError("not a frame of this format")
-    total, block, size, count = struct.unpack_from("<QIII", frame, 4)
-    by_rank = np.frombuffer(frame, "<u2", size, 24).astype(np.uint16)
-    at = 24 + 2 * size
-    table = [struct.unpack_from("<II", frame, at + 8 * k) for k in range(count)]
-    at += 8 * count
-    coded = []
-    for length, _ in table:
-        coded.append(frame[at : at + length])
-        at += length
-    found = np.empty((count, block), np.uint16)
-    for k in range(0, count, lanes):
-        found[k : k + lanes] = _decode_lanes(coded[k : k + lanes], block, size)
-    for k, (_, check) in enumerate(table):
-        if zlib.crc32(found[k].astype("<u2").tobytes()) != check or int(found[k].max()) >= size:
-            raise ValueError(f"block {k} is damaged")
-    return by_rank[found.reshape(-1)[:total]]
+    count, check = struct.unpack_from("<II", frame, 4)
+    table = frame[12 : 12 + 4 * count]
+    if len(table) != 4 * count or zlib.crc32(table) != check:
+        raise ValueError("frame is damaged")
+    sizes = np.frombuffer(table, "<u4").astype(np.int64)
+    ends = 12 + len(table) + np.cumsum(sizes)
+    if len(frame) != (int(ends[-1]) if count else 12):
+        raise ValueError("frame is damaged")
+    return [frame[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def decode(frame: bytes) -> np.ndarray:
+    """The ids of a frame; ValueError if it is damaged."""
+    return np.concatenate([np.empty(0, np.uint32), *map(decode_block, blocks_of(frame))])

@@ -5,9 +5,9 @@ a word are proved offline: each is encoded alone, once, and those that come back
 their own id are the proven set. A pre-token in it counts one without any merging; only other
 pre-tokens go through the library's merges.
 
-A text is cut into pre-tokens here if all its characters are ones whose normal form, case and class are plain.
-Otherwise it is cut at ASCII white space, which is white space to the tokenizer and composes with no
-mark, and the pieces with other characters, or with the start of a special token, go to the library whole.
+A text is cut at ASCII white space, which is white space to the tokenizer and composes with no mark; so the pieces
+are independent. A piece is cut into pre-tokens here if all its characters are ones whose normal form, case and class are plain.
+Pieces with other characters, or with the start of a special token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from fernweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: pre-tokens remembered by a worker, and the length of the longest of them
-CACHE_PRETOKENS, CACHE_LENGTH = 200_000, 32
+#: pieces that each half of a worker's memo holds, and the length of the longest of them in bytes
+CACHE_PIECES, CACHE_LENGTH = 500_000, 32
 #: fixed values: a space becomes this character in byte-level vocabularies, and words end so
 WORD_END = "</w>"
 
@@ -82,41 +82,50 @@ def is_plain(data: bytes) -> bool:
     return not _ODD.search(data.decode("utf-8", "replace"))
 
 
-class Pretokens(dict):
-    """Bounded memo from a pre-token to its token ids as little-endian unsigned 32-bit integers.
+class Pieces(dict):
+    """Bounded memo from a piece of text to its token ids as little-endian unsigned 32-bit integers.
 
-    Proven whole tokens need no merging. It lives as long as the Python worker; when it is full, it becomes
-    the older half, whose entries come back when they are asked for.
+    Pre-tokens that are proven whole tokens need no merging, only others go through the library's merges. The memo
+    lives as long as the Python worker; when it is full, it becomes the older half, whose entries come back when they are asked for.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = load(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.shown = {b: c for c, b in byte_alphabet().items()}
         self.known = {text: _packed([number]) for text, number in proven(path).items()}
-        self.older: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        made = self.known.get(part) or self.older.get(part)
+    def __missing__(self, piece: bytes) -> bytes:
+        made = self.older.get(piece)
         if made is None:
-            made = _packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
-        if len(part) <= CACHE_LENGTH:
-            if len(self) >= CACHE_PRETOKENS:
+            made = self._cut(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
                 self.older = dict(self)
                 self.clear()
-            self[part] = made
+            self[piece] = made
+        return made
+
+    def _cut(self, piece: bytes) -> bytes:
+        if piece.isalpha():
+            return self._pretoken(piece.decode().lower())
+        if is_plain(piece):
+            return b"".join(map(self._pretoken, _PRETOKEN.findall(piece.decode().lower())))
+        return _packed(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _pretoken(self, part: str) -> bytes:
+        made = self.known.get(part)
+        if made is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+            made = _packed([t.id for t in self.merges(shown)])
         return made
 
     def ids(self, data: bytes) -> bytes:
         """The ids of a text."""
-        if is_plain(data):
-            return b"".join(map(self.__getitem__, _PRETOKEN.findall(data.decode().lower())))
-        return b"".join(map(self._piece, data.split()))
-
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8", "replace")
-        if is_plain(piece):
-            return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        # of other texts special tokens go by case, and capitals may compose otherwise
+        return b"".join(map(self.__getitem__, (data.lower() if is_plain(data) else data).split()))
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -124,8 +133,8 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @cache
-def pretokens(path: str) -> Pretokens:
-    return Pretokens(path)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -138,7 +147,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = pretokens(path)
+        memo = pieces(path)
         for batch in batches:
             size, count = [], []
             for value in batch.column(1):
