@@ -24,7 +24,7 @@ import numpy as np
 
 MAGIC = b"FWR2"
 #: ids of a block, lanes of a block, and ids of a lane at least
-BLOCK, LANES, LEAST_IDS = 1 << 22, 4096, 512
+BLOCK, LANES, LEAST_IDS = 1 << 22, 8192, 512
 MAX_ID = (1 << 18) - 1
 #: cells of all order-1 rows together, rows at most, bits of a place in the order-2 table
 CELLS, ROWS, TABLE2 = 1 << 20, 1024, 18
