@@ -25,40 +25,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (local
-    tests) a temporary folder of this machine is used.
+    The cluster names it in spark.checkpoint.dir; only where that is unset and all runs on this machine
+    (tests) a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fernweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: paths that stored() wrote, by the open scratch() they are written in
+_scratch: list[list[str]] = []
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here.
 
-    The files outlive this call since the result is lazy; they go with the
-    application's shared folder.
+    The files outlive this call since the result is lazy; they go at the end of the scratch() that this is called in,
+    if not kept, or else with the application's shared folder.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, top: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What stored() writes within goes at the end, but for what it keeps."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     spark = df.sparkSession
     base = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
         if top.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, top)
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts under one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def size_of(docs: DataFrame) -> int:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, UPPER, drop_stored, fresh, lookup, stored, table
+from fernweave.llm.common import LOWER, UPPER, drop_stored, fresh, lookup, stored, table, text_key
 from fernweave.llm.components import components
 
 SEED = 42
@@ -46,8 +46,6 @@ WIDE_BITS, WIDE_LIMITS = 92, (6, 16)
 BUCKETS = 128
 #: shingles that come last in prefixes: those of so many texts of a sample, so many at most
 COMMON, MOST_COMMON = 3, 1 << 17
-#: stands for a null id
-NO_ID = -(2**63)
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -260,7 +258,7 @@ def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
     fp is the 64-bit SimHash of width-word shingles (repeats included) as a signed long; a null or
     blank text has 0. Fingerprints link at limit (4 at most) or fewer differing bits, and
     component_id is the smallest doc_id of those reachable, null if all are null. Repeated rows
-    are returned as they come; an empty table gives no rows.
+    are returned as they come, very long texts are read whole; an empty table gives no rows.
     """
     if not 0 <= limit <= 4:
         raise ValueError("the keys find links of 4 bits at most")
@@ -279,10 +277,10 @@ def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "vid", "lo", "hi", "counts", "shingles"]
+    names = ["doc_id", "row", "vid", "lo", "hi", "counts", "shingles"]
     for batch in batches:
         vids, los, his, counts, sketches = [], [], [], [], []
-        for value in batch.column(1):
+        for value in batch.column(2):
             data = (value.as_py() or b"").translate(_FOLD)
             words = data.split()
             ones = np.zeros(128, np.int64)
@@ -298,7 +296,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             shingles = np.unique(shingle_hashes(data, width))
             counts.append(np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes())
             sketches.append(shingles.tobytes())
-        values = (batch.column(0), *(pa.array(v, pa.int64()) for v in (vids, los, his)), *(pa.array(v, pa.binary()) for v in (counts, sketches)))
+        values = (batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (vids, los, his)), *(pa.array(v, pa.binary()) for v in (counts, sketches)))
         yield pa.RecordBatch.from_arrays(list(values), names)
 
 
@@ -396,18 +394,13 @@ def prefix_links(sets: DataFrame, least: float) -> DataFrame:
     return _met(sets.select("vid", "label", "shingles"), partial(_prefixes, common=common[order], often=often[order], least=least), partial(_meeting, least=least))
 
 
-def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id and group (the least doc_id) of each row of docs (doc_id, text; others are ignored).
-
-    Texts whose sets of width-word shingles have a Jaccard similarity of least or more share a group, as do
-    those that such pairs connect. Every pair is decided on the whole sets. Candidates are close word
-    fingerprints first, which gather most copies; then all pairs from different groups of those that
-    share one of their first shingles, so no pair is lost. Equal word sequences are always grouped, blank and null texts too.
-    """
-    raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
-    schema = "doc_id long, vid long, lo long, hi long, counts binary, shingles binary"
+def _copies(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """doc_id, row (text_key) and first (a struct of doc_id and row: those of the group's first row, by id, null last, then row) of each row of docs."""
+    raw = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("row"), F.col("text").cast("binary").alias("data"))
+    schema = "doc_id long, row long, vid long, lo long, hi long, counts binary, shingles binary"
     rows = stored(raw.mapInArrow(partial(_sketched, width=width), schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    texts = rows.groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("rid").alias("rid"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    texts = rows.groupBy("vid").agg(F.min(place).alias("rep"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("rid").alias("rid"))
     texts = stored(texts, "texts")
     repeats = stored(rows.select("rid").join(texts.select("rid"), "rid", "left_anti"), "repeats")
     sets = rows.select("rid", "vid", "counts", "shingles").join(repeats, "rid", "left_anti").drop("rid")
@@ -434,22 +427,38 @@ def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
     labels = texts.join(roots, texts["vid"] == roots["vertex"], "left").select("vid", "rep", F.coalesce("root", "vid").alias("root"))
     labels = stored(labels, "labels")
-    named = labels.groupBy("root").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
-    named = stored(lookup(labels, "root", named, F.col("members"), labels.count()).select("vid", "group"), "named")
+    named = labels.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
+    named = stored(lookup(labels, "root", named, F.col("members"), labels.count()).select("vid", "first"), "named")
     sizes = rows.groupBy("vid").agg(F.count("*").alias("n"))
-    return lookup(rows.select("doc_id", "vid"), "vid", named.join(sizes, "vid"), F.col("n"), rows.count()).select("doc_id", "group")
+    return lookup(rows.select("doc_id", "row", "vid"), "vid", named.join(sizes, "vid"), F.col("n"), rows.count()).select("doc_id", "row", "first")
+
+
+def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and group (the least doc_id) of each row of docs (doc_id, text; others are ignored).
+
+    Texts whose sets of width-word shingles have a Jaccard similarity of least or more share a group, as do
+    those that such pairs connect. Every pair is decided on the whole sets, of very long texts too. Candidates are close word
+    fingerprints first, which gather most copies; then all pairs from different groups of those that
+    share one of their first shingles, so no pair is lost. Equal word sequences are always grouped, blank and null texts too.
+    A null id comes after all others; a group of null ids only has null. An empty table gives no rows.
+    """
+    return _copies(docs, width, least).select("doc_id", F.col("first.doc_id").alias("group"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its group of near copies, with docs' columns.
+    """One row of each group of near copies, that of the least doc_id, with docs' columns, whatever their names.
 
-    doc_id tells documents apart: of rows that share one, one stays.
+    Rows under one id, or without one, are rows of their own: they are told apart by their texts. Of a group without
+    ids, or with several texts under its least id, one row stays, by a hash of the text; of rows that repeat id and text, any one.
     """
-    key = fresh(docs, "kept_id")
-    groups = copy_groups(docs, width, least)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("group"))).select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias(key)).distinct()
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(stored(kept, "kept"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    key, row = fresh(docs, "kept_id"), fresh(docs, "kept_row")
+    found = _copies(docs, width, least)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))).select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).distinct()
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(row, text_key(F.col("text")))
+    kept = stored(kept, "kept")
+    kept = kept.select(F.col("of_id").alias(fresh(keyed, "of_id")), F.col("of_row").alias(fresh(keyed, "of_row")))
+    same = keyed[key].eqNullSafe(kept[kept.columns[0]]) & (keyed[row] == kept[kept.columns[1]])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([key, row]).select(*docs.columns)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
