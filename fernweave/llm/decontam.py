@@ -5,10 +5,12 @@ after numbers turn into typed placeholders, everything else is lower-cased, and
 five template words are hashed and joined; a document and an item that share enough of the
 item's windows match if the values in the placeholders are consistent: along one alignment, equal
 values of the item stand for equal values of the document and different ones for
-different ones. So an item is found verbatim and with its numbers, names or units exchanged.
+different ones. Alignments are put together, longest first, as long as that holds across them. So an item is found verbatim and
+with its numbers, names or units exchanged, also if words were put in between.
 
 A capitalised word that begins a sentence may be a name or not: windows over such words go in both readings, on
-both sides. Items without any window (short or dense in numbers) are found by their whole sequence of words, values included.
+both sides. Names of several words are one placeholder, and
+its value is the last of them, since the first one may begin a sentence and be no name. Items without any window (short or dense in numbers) are found by their whole sequence of words, values included.
 
 Only DataFrame functions run. The item side is broadcast in blocks of BLOCK windows at
 most, with one pass over the documents for each block, whatever the benchmark's size.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import fresh, stored, table
+from fernweave.llm.common import fresh, stored, table, text_key
 
 WIDTH = 5
 #: a match has this share of an item's windows, or a run of RUN words along one alignment
@@ -38,17 +40,18 @@ OPENERS = (
 #: fixed values
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "miles", "mile", "feet", "ft", "inches", "pounds", "lbs", "dollars", "euros", "cents", "percent", "mph", "degrees")
 
-_NUMBER, _NAME, _UNIT, _FIRST = "#", "§", "¤", "¶"
+_NUMBER, _NAME, _UNIT, _FIRST, _JOIN = "#", "§", "¤", "¶", "‿"
 
 
 def _marked(text: Column) -> Column:
-    """Words of the text; names begin with § and units with ¤, numbers with their first digit, and what may be a name with ¶."""
-    text = F.translate(F.coalesce(text, F.lit("")), _FIRST, " ")
+    """Words of the text; names begin with § and units with ¤, numbers with their first digit, and what may be a name with ¶; a name's words are joined."""
+    text = F.translate(F.coalesce(text, F.lit("")), _FIRST + _JOIN, "  ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", _NAME)
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_{_NAME}])(?=\p{{Lu}}\p{{Ll}})(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))", _FIRST)
+    text = F.regexp_replace(text, rf"([{_NAME}{_FIRST}][\p{{L}}\p{{N}}]+) (?={_NAME})", f"$1{_JOIN}")
     text = F.regexp_replace(F.lower(text), r"(?<=[0-9])[.,](?=[0-9])", "_")
     text = F.regexp_replace(text, rf"(?<=[0-9])\s?(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
-    return F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}{_FIRST}_]+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}{_FIRST}{_JOIN}_]+"), lambda w: w != "")
 
 
 def _template(words: Column) -> Column:
@@ -86,31 +89,31 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """Distinct windows of the items that have enough plain words; an item of fewer words than width has none."""
-    rows = _windows(items.filter("item_id IS NOT NULL").select("item_id", _marked(F.col("text")).alias("marked")), width)
-    return rows.filter(F.col("plain") >= PLAIN_WORDS).select("item_id", F.col("at").alias("item_at"), "window", F.col("words").alias("item_words"))
+    """Windows of the items that have enough plain words; an item of fewer words than width has none. item tells items apart."""
+    rows = _windows(items.select("item_id", text_key(F.col("text")).alias("item"), _marked(F.col("text")).alias("marked")).distinct(), width)
+    return rows.filter(F.col("plain") >= PLAIN_WORDS).select("item_id", "item", F.col("at").alias("item_at"), "window", F.col("words").alias("item_words"))
 
 
 def _bare(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, _NAME + _UNIT + _FIRST, ""))
+    return F.flatten(F.transform(words, lambda w: F.split(F.translate(w, _NAME + _UNIT + _FIRST, ""), _JOIN)))
 
 
 def _whole(docs: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame | None:
-    """doc_id and item_id where a document has all words of an item that has no window in wanted; None if there are no such items."""
-    rest = items.filter("item_id IS NOT NULL").join(wanted.select("item_id").distinct(), "item_id", "left_anti")
-    rest = rest.select("item_id", _bare(_marked(F.col("text"))).alias("item_words")).filter(F.size("item_words") > 0).distinct()
+    """Document and item where the one has all words of the other, which has no window in wanted; None if there are no such items."""
+    rest = items.select("item_id", text_key(F.col("text")).alias("item"), "text").distinct().join(wanted.select("item").distinct(), "item", "left_anti")
+    rest = rest.select("item_id", "item", _bare(_marked(F.col("text"))).alias("item_words")).filter(F.size("item_words") > 0).distinct()
     rest = stored(rest.withColumn("n", F.least(F.size("item_words"), F.lit(FIRST))).withColumn("key", F.xxhash64(F.slice(F.col("item_words"), F.lit(1), F.col("n")))), "whole-items")
     lengths = sorted(r.n for r in rest.select("n").distinct().collect())
     if not lengths:
         return None
     blocks = max(1, -(-rest.count() // BLOCK))
-    rows = docs.select("doc_id", _bare(_marked(F.col("text"))).alias("words")).filter(F.size("words") > 0)
+    rows = docs.select("doc_id", "row", _bare(_marked(F.col("text"))).alias("words")).filter(F.size("words") > 0)
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words"))))
     rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).withColumn("key", F.xxhash64(F.slice(F.col("words"), F.col("at"), F.col("n"))))
     hits = None
     for block in range(blocks):
         part = rest.filter(F.pmod("key", F.lit(blocks)) == block)
-        found = rows.join(F.broadcast(part), ["key", "n"]).filter(F.slice(F.col("words"), F.col("at"), F.size("item_words")) == F.col("item_words")).select("doc_id", "item_id")
+        found = rows.join(F.broadcast(part), ["key", "n"]).filter(F.slice(F.col("words"), F.col("at"), F.size("item_words")) == F.col("item_words")).select("doc_id", "row", "item_id", "item")
         hits = found if hits is None else hits.unionByName(found)
     return hits.distinct()
 
@@ -126,48 +129,80 @@ def _longest(ats: Column, width: int) -> Column:
     return F.aggregate(F.array_sort(ats), zero, step, lambda a: a["best"])
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
-    """doc_id, item_id, share of the item's windows, and changed: the number of its values that differ.
+def _fits(pairs: Column) -> Column:
+    """Whether (item_words, doc_words) tell one value for each value, both ways."""
 
-    docs has doc_id and text, items item_id and text. Null and empty texts match nothing. Items with
-    fewer than width words or with hardly any plain word match word for word only, whatever their length. Documents that share a
-    doc_id are taken together; a null doc_id is an id like any other.
-    """
+    def told(side: str) -> Column:
+        return F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
+
+    return (F.size(pairs) == told("item_words")) & (F.size(pairs) == told("doc_words"))
+
+
+def _together(lines: Column) -> Column:
+    """The windows and values of the longest alignment and of each that is consistent with those before."""
+
+    def step(state: Column, line: Column) -> Column:
+        pairs = F.array_distinct(F.concat(state["pairs"], line["pairs"]))
+        both = F.struct(F.array_union(state["ats"], line["ats"]).alias("ats"), pairs.alias("pairs"))
+        return F.when(_fits(pairs), both).otherwise(state)
+
+    first = lines[0]
+    return F.aggregate(lines, F.struct(first["ats"].alias("ats"), first["pairs"].alias("pairs")), step)
+
+
+def _matches(docs: DataFrame, items: DataFrame, width: int, share: float, run: int) -> DataFrame:
+    """doc_id, row, item_id, item, share, changed for each match of docs (doc_id, row, text)."""
     wanted = stored(item_windows(items, width), "item-windows")
-    per_item = wanted.groupBy("item_id").agg(F.countDistinct("item_at").alias("windows"))
+    per_item = wanted.groupBy(F.col("item_id").alias("of_id"), F.col("item").alias("of_item")).agg(F.countDistinct("item_at").alias("windows"))
     blocks = max(1, -(-wanted.count() // BLOCK))
-    rows = _windows(docs.select("doc_id", _marked(F.col("text")).alias("marked")), width)
+    rows = _windows(docs.select("doc_id", "row", _marked(F.col("text")).alias("marked")), width)
     hits = None
     for block in range(blocks):
         part = wanted.filter(F.pmod("window", F.lit(blocks)) == block)
-        found = rows.join(F.broadcast(part), "window").select("doc_id", "item_id", "at", "item_at", F.col("words").alias("doc_words"), "item_words")
+        found = rows.join(F.broadcast(part), "window").select("doc_id", "row", "item_id", "item", "at", "item_at", F.col("words").alias("doc_words"), "item_words")
         hits = found if hits is None else hits.unionByName(found)
     # one row for each alignment first; its values are few, an item's length at most
     pairs = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].rlike(rf"^[0-9{_NAME}{_UNIT}]"))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line")).agg(
-        F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    pairs = F.transform(pairs, lambda p: F.struct(*[F.regexp_replace(p[side], f".*{_JOIN}", "").alias(side) for side in ("item_words", "doc_words")]))
+    key = ["doc_id", "row", "item_id", "item"]
+    lines = hits.groupBy(*key, (F.col("at") - F.col("item_at")).alias("line")).agg(
+        F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(pairs)))).alias("pairs")
     )
-    given = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_words"])))
-    taken = F.size(F.array_distinct(F.transform("pairs", lambda p: p["doc_words"])))
-    consistent = (F.size("pairs") == given) & (F.size("pairs") == taken)
-    changed = F.size(F.filter("pairs", lambda p: p["item_words"] != p["doc_words"]))
-    lines = lines.filter(consistent).withColumn("changed", changed).withColumn("run", _longest(F.col("ats"), width))
-    both = lines.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("held"), F.max("run").alias("run"), F.max("changed").alias("changed")
-    )
-    joined = both.join(per_item, "item_id").withColumn("share", F.col("held") / F.col("windows"))
-    found = joined.filter((F.col("share") >= share) | (F.col("run") >= run)).select("doc_id", "item_id", "share", "changed")
+    lines = lines.filter(_fits(F.col("pairs"))).withColumn("run", _longest(F.col("ats"), width))
+    told = F.struct((-F.size("ats")).alias("size"), "ats", "pairs")
+    both = lines.groupBy(*key).agg(_together(F.array_sort(F.collect_set(told))).alias("best"), F.max("run").alias("run"))
+    changed = F.size(F.filter("best.pairs", lambda p: p["item_words"] != p["doc_words"]))
+    of = F.col("item_id").eqNullSafe(F.col("of_id")) & (F.col("item") == F.col("of_item"))
+    joined = both.join(per_item, of).withColumn("share", F.size("best.ats") / F.col("windows"))
+    found = joined.filter((F.col("share") >= share) | (F.col("run") >= run)).select(*key, "share", changed.alias("changed"))
     whole = _whole(docs, items, wanted)
-    return found if whole is None else found.unionByName(whole.select("doc_id", "item_id", F.lit(1.0).alias("share"), F.lit(0).alias("changed")))
+    return found if whole is None else found.unionByName(whole.select(*key, F.lit(1.0).alias("share"), F.lit(0).alias("changed")))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("row"), "text")
+
+
+def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
+    """doc_id, item_id, share of the item's windows, and changed: the number of its values that differ.
+
+    docs has doc_id and text, items item_id and text; other columns are ignored. Null and empty texts match nothing, and very long ones
+    are read whole. Items with fewer than width words or with hardly any plain word match word for word only, whatever their
+    length. Null ids, of documents and items, are ids like any other. Documents that share an id are matched one by one
+    by their texts, as are items; rows that repeat both count once. Of alignments equally long the one of earlier windows comes
+    first. An empty table of either gives no rows.
+    """
+    return _matches(_rows(docs), items, width, share, run).drop("row", "item")
 
 
-def contamination(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """One row for each of docs: doc_id, contaminated, n_items, item_id and share of the best item, changed."""
-    found = matches(docs.select(F.col("doc_id").cast("long"), "text"), items, **settings)
-    best = found.groupBy(F.col("doc_id").alias("__id")).agg(
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
+    """One row for each of docs: doc_id, contaminated, n_items, item_id and share of the best item (of ties, the least id), changed. As for odd rows, see matches()."""
+    found = _matches(_rows(docs), items, width, share, run)
+    best = found.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(
         F.count("*").alias("n_items"), F.max(F.struct("share", (-F.col("item_id")).alias("neg"), "changed")).alias("best")
     )
-    joined = docs.select(F.col("doc_id").cast("long")).join(stored(best, "contaminated"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    rows = _rows(docs).drop("text")
+    joined = rows.join(stored(best, "contaminated"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left")
     return joined.select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
@@ -178,14 +213,15 @@ def contamination(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that match no item."""
-    key = fresh(docs, "leaked_id")
-    found = matches(docs.select(F.col("doc_id").cast("long"), "text"), items, **settings).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(stored(found, "leaks"), docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
+    """The rows of docs that match no item, with docs' columns, whatever their names; other rows under the id of a match stay. As for odd rows, see matches()."""
+    key, row = fresh(docs, "leaked_id"), fresh(docs, "leaked_row")
+    found = _matches(_rows(docs), items, width, share, run).select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (text_key(docs["text"]) == F.col(row))
+    return docs.join(stored(found, "leaks"), same, "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and item that match; documents without a row are clean."""
-    found = matches(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), table(spark, sf_dir, "benchmark"))
+    found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("item"), "share", (F.col("changed") > 0).alias("other_values"))

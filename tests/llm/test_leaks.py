@@ -37,3 +37,25 @@ def test_scattered_windows_are_no_run(spark):
     rng.shuffle(parts)
     scattered = " and yet again ".join(" ".join(p) for p in parts)
     assert found(spark, {1: scattered, 2: "so " + " ".join(item[100:113]) + " too", 3: "so " + " ".join(item[100:112]) + " too"}, {7: " ".join(item)}) == {(2, 7)}
+
+
+def test_values_are_consistent_across_alignments(spark):
+    """Words put in between make two alignments; names of several words are one value."""
+    item = "Once Bob went down to the market with 12 fresh eggs in one basket, and after a while dear Bob came home from there with 5 of them."
+    docs = {
+        1: "Once Zed went down to the market with 30 fresh eggs in one basket, and after a short long while dear Zed came home from there with 7 of them.",
+        2: "Once Zed went down to the market with 30 fresh eggs in one basket, and after a short long while dear Max came home from there with 7 of them.",
+        3: "Once Ann Lee went down to the market with 30 fresh eggs in one basket, and after a while dear Ann Lee came home from there with 7 of them.",
+        4: "Once Ann Lee went down to the market with 30 fresh eggs in one basket, and after a while dear Ann Poe came home from there with 7 of them.",
+    }
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    made = {r.doc_id: r.share for r in decontam.matches(rows, spark.createDataFrame([(1, item)], "item_id long, text string"), run=40).collect()}
+    # without the second part hardly half of the windows are left
+    assert set(made) >= {1, 3} and made[3] == 1.0 and made[1] > 0.7
+    assert made.get(2, 0) < 0.6 and 4 not in made
+
+
+def test_names_of_several_words_begin_sentences(spark):
+    items = {1: "Bob has 7 cats. Eva has 8 dogs. How many animals do Bob and Eva keep at home?"}
+    docs = {1: "Tom has 3 cats. Ann has 4 dogs. How many animals do Tom and Ann keep at home?", 2: "Ann Lee has 3 cats. Jo Poe has 4 dogs. How many animals do Ann Lee and Jo Poe keep at home?", 3: "Tom has 3 cats. Ann has 4 dogs. How many animals do Ann and Tom keep at home?"}
+    assert {(1, 1), (2, 1)} <= found(spark, docs, items)
