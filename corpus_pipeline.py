@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fernweave.llm import binary, decontam, mixing, quality, simhash, tokens
-from fernweave.llm.common import stored, table
+from fernweave.llm.common import drop_stored, scratch, stored, table
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Rows that go to Python at a time: the default of 10,000 whole documents takes executors much memory."""
+    """Rows that go to Python at a time: the default of 10,000 whole documents takes executors much memory.
+
+    The setting stays, since a stage's result is lazy and the caller's write of it needs it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
@@ -60,7 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage. What a stage wrote for itself goes when its result is written, and that when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            docs = stored(made, "stage-" + "".join(c if c.isalnum() else "-" for c in name), keep=True)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
