@@ -8,12 +8,14 @@ values of the item stand for equal values of the document and different ones for
 different ones. Alignments are put together, longest first, as long as that holds across them. So an item is found verbatim and
 with its numbers, names or units exchanged, also if words were put in between.
 
-A capitalised word that begins a sentence may be a name or not: windows over such words go in both readings, on
-both sides. Names of several words are one placeholder, and
-its value is the last of them, since the first one may begin a sentence and be no name. Items without any window (short or dense in numbers) are found by their whole sequence of words, values included.
-
-Only DataFrame functions run. The item side is broadcast in blocks of BLOCK windows at
-most, with one pass over the documents for each block, whatever the benchmark's size.
+A capitalised word that begins a sentence counts as a name too, but for some that begin many (OPENERS); such a word as
+"Yesterday" then is a value like others. Names of several words are one placeholder, and its value is the last of
+them. Items without any window (short or dense in numbers) are found by their whole sequence of words, values included:
+it is cut into pieces of five words, all of which must stand in one alignment.
+
+Only DataFrame functions run. Words of the documents are spread to rows of five, which are hashed and probe the item
+side; that is broadcast in blocks of BLOCK windows at most, with one pass over the documents for each block, whatever the
+benchmark's size. Nothing but hits leaves the pass.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ SHARE, RUN = 0.5, 13
 #: windows with fewer plain words tell nothing
 PLAIN_WORDS = 3
 BLOCK = 1 << 18
-#: items without windows are joined by so many first words at most
-FIRST = 4
 #: fixed values: words that begin sentences and are no names
 OPENERS = (
     "A", "An", "The", "This", "That", "These", "Those", "There", "Here", "He", "She", "It", "We", "You", "They", "His", "Her", "Its", "Our", "Your", "Their", "My", "How", "What", "When", "Where", "Which",
@@ -40,82 +40,66 @@ OPENERS = (
 #: fixed values
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "miles", "mile", "feet", "ft", "inches", "pounds", "lbs", "dollars", "euros", "cents", "percent", "mph", "degrees")
 
-_NUMBER, _NAME, _UNIT, _FIRST, _JOIN = "#", "§", "¤", "¶", "‿"
+_NUMBER, _NAME, _UNIT, _JOIN = "#", "§", "¤", "‿"
+_W = [f"w{k}" for k in range(WIDTH)]
 
 
 def _marked(text: Column) -> Column:
-    """Words of the text; names begin with § and units with ¤, numbers with their first digit, and what may be a name with ¶; a name's words are joined."""
-    text = F.translate(F.coalesce(text, F.lit("")), _FIRST + _JOIN, "  ")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", _NAME)
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_{_NAME}])(?=\p{{Lu}}\p{{Ll}})(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}]))", _FIRST)
-    text = F.regexp_replace(text, rf"([{_NAME}{_FIRST}][\p{{L}}\p{{N}}]+) (?={_NAME})", f"$1{_JOIN}")
+    """Words of the text in lower case; names begin with § and units with ¤, numbers with their first digit; a name's words are joined."""
+    text = F.translate(F.coalesce(text, F.lit("")), _NAME + _UNIT + _JOIN, "   ")
+    opener = rf"(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}])"
+    text = F.regexp_replace(text, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}_])(?:(?<=[\p{{Ll}}\p{{N}},;:] )|(?!{opener}))", _NAME)
+    text = F.regexp_replace(text, rf"({_NAME}[\p{{L}}\p{{N}}]+) (?={_NAME})", f"$1{_JOIN}")
     text = F.regexp_replace(F.lower(text), r"(?<=[0-9])[.,](?=[0-9])", "_")
     text = F.regexp_replace(text, rf"(?<=[0-9])\s?(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}")
-    return F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}{_FIRST}{_JOIN}_]+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{N}}{_NAME}{_UNIT}{_JOIN}_]+"), F.lit(0))
+
+
+def _template(word: Column) -> Column:
+    return F.when((word >= "0") & (word < ":"), F.lit(_NUMBER)).when(word.startswith(_NAME), F.lit(_NAME)).when(word.startswith(_UNIT), F.lit(_UNIT)).otherwise(word)
+
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows(…, text) with at (0 first) and the words from there on, w0 to w4, null beyond the end, for each word; the text goes."""
+    others = [c for c in rows.columns if c != "text"]
+    rows = rows.select(*others, _marked(F.col("text")).alias("words"))
+    shifted = [F.slice("words", k + 1, F.size("words")).alias(_W[k]) if k else F.col("words").alias(_W[0]) for k in range(WIDTH)]
+    return rows.select(*others, F.posexplode(F.arrays_zip(*shifted)).alias("at", "w")).select(*others, "at", *[F.col("w")[w].alias(w) for w in _W])
 
-def _template(words: Column) -> Column:
-    def word(w: Column) -> Column:
-        return F.when((w >= "0") & (w < ":"), F.lit(_NUMBER)).when(w.startswith(_NAME), F.lit(_NAME)).when(w.startswith(_UNIT), F.lit(_UNIT)).otherwise(w)
 
-    return F.transform(words, word)
+def _bare(word: Column) -> Column:
+    return F.translate(word, _NAME + _UNIT, "")
 
 
-def _read(as_: str) -> Column:
-    return F.transform("marked", lambda w: F.translate(w, _FIRST, as_))
+def _window_key() -> Column:
+    """Hash of the template of five words; null if there are fewer."""
+    return F.when(F.col(_W[-1]).isNotNull(), F.xxhash64(*[_template(F.col(w)) for w in _W]))
 
 
-def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """For rows with marked words, at (0 first), window, the hash of the template words from there, words of the window as read and plain, how many are.
+def _piece_key(n: int) -> Column:
+    """Hash of n words, values included; null if there are fewer."""
+    return F.when(F.col(_W[n - 1]).isNotNull(), F.xxhash64(F.lit(n), *[_bare(F.col(w)) for w in _W[:n]]))
 
-    Windows over words that may be names come twice, as words and as names. Rows hold their window alone, not the text.
+
+def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the items are found by: item_id, item (tells items apart), item_at, key, whole and item_words; and of each item the number of its keys.
+
+    Windows that have enough plain words, and for items without any the pieces of the whole (whole is true).
     """
-    others = [c for c in rows.columns if c != "marked"]
-    last = F.size("marked") - width
-    none = F.array().cast("array<int>")
-    places = F.filter(F.transform("marked", lambda w, k: F.when(w.startswith(_FIRST), k)), lambda k: k.isNotNull())
-    over = F.array_distinct(F.flatten(F.transform(places, lambda k: F.sequence(F.greatest(k - width + 1, F.lit(0)), F.least(k, last)))))
-    every = rows.select(*others, "marked", F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none).alias("starts"))
-    named = rows.select(*others, "marked", F.when(last >= 0, over).otherwise(none).alias("starts"))
-    made = None
-    for part, as_ in ((every, ""), (named, _NAME)):
-        part = part.select(*others, "starts", _read(as_).alias("words"))
-        part = part.withColumn("template", _template(F.col("words")))
-        spread = F.transform("starts", lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, F.lit(width)).alias("words"), F.slice("template", at + 1, F.lit(width)).alias("template")))
-        part = part.select(*others, F.inline(spread))
-        made = part if made is None else made.unionByName(part)
-    plain = F.size(F.filter("template", lambda w: ~w.isin(_NUMBER, _NAME, _UNIT)))
-    return made.select(*others, "at", F.xxhash64(*[F.col("template")[k] for k in range(width)]).alias("window"), "words", plain.alias("plain"))
-
-
-def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """Windows of the items that have enough plain words; an item of fewer words than width has none. item tells items apart."""
-    rows = _windows(items.select("item_id", text_key(F.col("text")).alias("item"), _marked(F.col("text")).alias("marked")).distinct(), width)
-    return rows.filter(F.col("plain") >= PLAIN_WORDS).select("item_id", "item", F.col("at").alias("item_at"), "window", F.col("words").alias("item_words"))
-
-
-def _bare(words: Column) -> Column:
-    return F.flatten(F.transform(words, lambda w: F.split(F.translate(w, _NAME + _UNIT + _FIRST, ""), _JOIN)))
-
-
-def _whole(docs: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame | None:
-    """Document and item where the one has all words of the other, which has no window in wanted; None if there are no such items."""
-    rest = items.select("item_id", text_key(F.col("text")).alias("item"), "text").distinct().join(wanted.select("item").distinct(), "item", "left_anti")
-    rest = rest.select("item_id", "item", _bare(_marked(F.col("text"))).alias("item_words")).filter(F.size("item_words") > 0).distinct()
-    rest = stored(rest.withColumn("n", F.least(F.size("item_words"), F.lit(FIRST))).withColumn("key", F.xxhash64(F.slice(F.col("item_words"), F.lit(1), F.col("n")))), "whole-items")
-    lengths = sorted(r.n for r in rest.select("n").distinct().collect())
-    if not lengths:
-        return None
-    blocks = max(1, -(-rest.count() // BLOCK))
-    rows = docs.select("doc_id", "row", _bare(_marked(F.col("text"))).alias("words")).filter(F.size("words") > 0)
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words"))))
-    rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).withColumn("key", F.xxhash64(F.slice(F.col("words"), F.col("at"), F.col("n"))))
-    hits = None
-    for block in range(blocks):
-        part = rest.filter(F.pmod("key", F.lit(blocks)) == block)
-        found = rows.join(F.broadcast(part), ["key", "n"]).filter(F.slice(F.col("words"), F.col("at"), F.size("item_words")) == F.col("item_words")).select("doc_id", "row", "item_id", "item")
-        hits = found if hits is None else hits.unionByName(found)
-    return hits.distinct()
+    rows = stored(_spread(items.select("item_id", text_key(F.col("text")).alias("item"), "text").distinct()), "item-words")
+    plain = sum((F.when(_template(F.col(w)).isin(_NUMBER, _NAME, _UNIT), 0).otherwise(1) for w in _W), F.lit(0))
+    windows = rows.withColumn("key", _window_key()).filter(F.col("key").isNotNull() & (plain >= PLAIN_WORDS))
+    sizes = rows.groupBy("item_id", "item").agg(F.count("*").cast("int").alias("size"))
+    of = windows.select(F.col("item_id").alias("i"), F.col("item").alias("j")).distinct()
+    rest = sizes.join(of, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item") == F.col("j")), "left_anti").select(F.col("item_id").alias("i"), F.col("item").alias("j"), "size")
+    mine = rows.join(rest, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item") == F.col("j"))).withColumn("n", F.least(F.col("size"), F.lit(WIDTH)))
+    # every fifth word begins a piece, and so does the last place where one fits
+    mine = mine.filter((F.col("at") + F.col("n") <= F.col("size")) & ((F.col("at") % WIDTH == 0) | (F.col("at") + F.col("n") == F.col("size"))))
+    pieces = mine.withColumn("key", F.coalesce(*[F.when(F.col("n") == n, _piece_key(n)) for n in range(1, WIDTH + 1)]))
+    shown = [F.col("item_id"), F.col("item"), F.col("at").alias("item_at"), F.col("key")]
+    both = windows.select(*shown, F.lit(0).alias("whole"), F.array(*_W).alias("item_words")).unionByName(pieces.select(*shown, F.col("n").alias("whole"), F.array(*_W).alias("item_words")))
+    both = stored(both, "item-windows")
+    return both, both.groupBy(F.col("item_id").alias("of_id"), F.col("item").alias("of_item")).agg(F.countDistinct("item_at").alias("windows"))
 
 
 def _longest(ats: Column, width: int) -> Column:
@@ -150,54 +134,56 @@ def _together(lines: Column) -> Column:
     return F.aggregate(lines, F.struct(first["ats"].alias("ats"), first["pairs"].alias("pairs")), step)
 
 
-def _matches(docs: DataFrame, items: DataFrame, width: int, share: float, run: int) -> DataFrame:
+def _matches(docs: DataFrame, items: DataFrame, share: float, run: int) -> DataFrame:
     """doc_id, row, item_id, item, share, changed for each match of docs (doc_id, row, text)."""
-    wanted = stored(item_windows(items, width), "item-windows")
-    per_item = wanted.groupBy(F.col("item_id").alias("of_id"), F.col("item").alias("of_item")).agg(F.countDistinct("item_at").alias("windows"))
+    wanted, per_item = item_windows(items)
+    # whole is the number of words in a piece, five at most
+    lengths = sorted(r.whole for r in wanted.select("whole").distinct().collect())
     blocks = max(1, -(-wanted.count() // BLOCK))
-    rows = _windows(docs.select("doc_id", "row", _marked(F.col("text")).alias("marked")), width)
+    keys = F.array(*[F.struct(F.lit(n).alias("whole"), (_piece_key(n) if n else _window_key()).alias("key")) for n in lengths]) if lengths else F.array().cast("array<struct<whole:int,key:bigint>>")
+    rows = _spread(docs).select("doc_id", "row", "at", *_W, F.explode(keys).alias("k")).select("doc_id", "row", "at", *_W, "k.whole", "k.key")
     hits = None
     for block in range(blocks):
-        part = wanted.filter(F.pmod("window", F.lit(blocks)) == block)
-        found = rows.join(F.broadcast(part), "window").select("doc_id", "row", "item_id", "item", "at", "item_at", F.col("words").alias("doc_words"), "item_words")
+        part = wanted.filter(F.pmod("key", F.lit(blocks)) == block)
+        found = rows.join(F.broadcast(part), ["whole", "key"]).select("doc_id", "row", "item_id", "item", "whole", "at", "item_at", F.array(*_W).alias("doc_words"), "item_words")
         hits = found if hits is None else hits.unionByName(found)
+    key = ["doc_id", "row", "item_id", "item"]
     # one row for each alignment first; its values are few, an item's length at most
     pairs = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].rlike(rf"^[0-9{_NAME}{_UNIT}]"))
-    pairs = F.transform(pairs, lambda p: F.struct(*[F.regexp_replace(p[side], f".*{_JOIN}", "").alias(side) for side in ("item_words", "doc_words")]))
-    key = ["doc_id", "row", "item_id", "item"]
-    lines = hits.groupBy(*key, (F.col("at") - F.col("item_at")).alias("line")).agg(
-        F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(pairs)))).alias("pairs")
+    pairs = F.transform(pairs, lambda p: F.struct(*[F.regexp_replace(p[side], f".*{_JOIN}{_NAME}?", _NAME).alias(side) for side in ("item_words", "doc_words")]))
+    values = F.when(F.col("whole") == 0, pairs).otherwise(F.array())
+    lines = hits.groupBy(*key, (F.col("at") - F.col("item_at")).alias("line"), (F.col("whole") > 0).alias("whole")).agg(
+        F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(values)))).alias("pairs")
     )
-    lines = lines.filter(_fits(F.col("pairs"))).withColumn("run", _longest(F.col("ats"), width))
+    of = F.col("item_id").eqNullSafe(F.col("of_id")) & (F.col("item") == F.col("of_item"))
+    exact = lines.filter("whole").join(per_item, of).filter(F.size("ats") == F.col("windows")).select(*key, F.lit(1.0).alias("share"), F.lit(0).alias("changed")).distinct()
+    lines = lines.filter(~F.col("whole") & _fits(F.col("pairs"))).withColumn("run", _longest(F.col("ats"), WIDTH))
     told = F.struct((-F.size("ats")).alias("size"), "ats", "pairs")
     both = lines.groupBy(*key).agg(_together(F.array_sort(F.collect_set(told))).alias("best"), F.max("run").alias("run"))
     changed = F.size(F.filter("best.pairs", lambda p: p["item_words"] != p["doc_words"]))
-    of = F.col("item_id").eqNullSafe(F.col("of_id")) & (F.col("item") == F.col("of_item"))
     joined = both.join(per_item, of).withColumn("share", F.size("best.ats") / F.col("windows"))
-    found = joined.filter((F.col("share") >= share) | (F.col("run") >= run)).select(*key, "share", changed.alias("changed"))
-    whole = _whole(docs, items, wanted)
-    return found if whole is None else found.unionByName(whole.select(*key, F.lit(1.0).alias("share"), F.lit(0).alias("changed")))
+    return joined.filter((F.col("share") >= share) | (F.col("run") >= run)).select(*key, "share", changed.alias("changed")).unionByName(exact)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("row"), "text")
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
     """doc_id, item_id, share of the item's windows, and changed: the number of its values that differ.
 
     docs has doc_id and text, items item_id and text; other columns are ignored. Null and empty texts match nothing, and very long ones
-    are read whole. Items with fewer than width words or with hardly any plain word match word for word only, whatever their
+    are read whole. Items with fewer than five words or with hardly any plain word match word for word only, whatever their
     length. Null ids, of documents and items, are ids like any other. Documents that share an id are matched one by one
     by their texts, as are items; rows that repeat both count once. Of alignments equally long the one of earlier windows comes
     first. An empty table of either gives no rows.
     """
-    return _matches(_rows(docs), items, width, share, run).drop("row", "item")
+    return _matches(_rows(docs), items, share, run).drop("row", "item")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
     """One row for each of docs: doc_id, contaminated, n_items, item_id and share of the best item (of ties, the least id), changed. As for odd rows, see matches()."""
-    found = _matches(_rows(docs), items, width, share, run)
+    found = _matches(_rows(docs), items, share, run)
     best = found.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(
         F.count("*").alias("n_items"), F.max(F.struct("share", (-F.col("item_id")).alias("neg"), "changed")).alias("best")
     )
@@ -213,10 +199,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
     """The rows of docs that match no item, with docs' columns, whatever their names; other rows under the id of a match stay. As for odd rows, see matches()."""
     key, row = fresh(docs, "leaked_id"), fresh(docs, "leaked_row")
-    found = _matches(_rows(docs), items, width, share, run).select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct()
+    found = _matches(_rows(docs), items, share, run).select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (text_key(docs["text"]) == F.col(row))
     return docs.join(stored(found, "leaks"), same, "left_anti")
 
