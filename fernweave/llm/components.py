@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fernweave.llm.common import drop_stored, lookup, stored
 
 
-def _through(rows: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
+def through(rows: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
     """rows with column replaced by what it points to (pointers: v, p for each value)."""
     counted = rows.groupBy(column).agg(F.count("*").alias("__n"))
     facts = pointers.select(F.col("v").alias(column), F.col("p").alias("__p")).join(counted, column)
@@ -25,7 +25,7 @@ def _pointers(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("p")), "pointers")
     for _ in range(2):
-        second = stored(_through(first, "p", first), "pointers")
+        second = stored(through(first, "p", first), "pointers")
         drop_stored(first)
         first = second
     return first
@@ -41,8 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(now.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().withColumn("root", F.col("vertex")), "labels")
     while now.limit(1).count():
         pointers = _pointers(now)
-        half = stored(_through(now, "a", pointers), "half")
-        moved = _through(half, "b", pointers).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        half = stored(through(now, "a", pointers), "half")
+        moved = through(half, "b", pointers).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         following = stored(moved.filter("a <> b").distinct(), "edges")
         # labels that are in no edge any more are final
         spread = labels.groupBy("root").agg(F.count("*").alias("n"))

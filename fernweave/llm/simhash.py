@@ -23,11 +23,12 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, UPPER, drop_stored, fresh, lookup, stored, table, text_key
-from fernweave.llm.components import components
+from fernweave.llm.common import LOWER, UPPER, fresh, lookup, release, stored, table, text_key
+from fernweave.llm.components import components, through
 
 SEED = 42
 SEGMENT = 23
@@ -42,6 +43,8 @@ COMPARE_ROWS = 1 << 19
 
 #: near copies: bits of word fingerprints, differing bits at most (for close links, for all)
 WIDE_BITS, WIDE_LIMITS = 92, (6, 16)
+#: shingles of texts that a task remembers
+MEMO_SHINGLES = 1 << 21
 #: buckets that a text's shingles are counted in, up to 255 each
 BUCKETS = 128
 #: shingles that come last in prefixes: those of so many texts of a sample, so many at most
@@ -277,9 +280,10 @@ def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "row", "vid", "lo", "hi", "counts", "shingles"]
+    names = ["doc_id", "row", "vid", "lo", "hi", "counts", "words"]
     for batch in batches:
-        vids, los, his, counts, sketches = [], [], [], [], []
+        vids, los, his, counts, kept = [], [], [], [], []
+        packer = zstandard.ZstdCompressor(level=3)
         for value in batch.column(2):
             data = (value.as_py() or b"").translate(_FOLD)
             words = data.split()
@@ -295,8 +299,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             his.append(int(both[1]) & (1 << WIDE_BITS - 64) - 1)
             shingles = np.unique(shingle_hashes(data, width))
             counts.append(np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes())
-            sketches.append(shingles.tobytes())
-        values = (batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (vids, los, his)), *(pa.array(v, pa.binary()) for v in (counts, sketches)))
+            kept.append(packer.compress(b" ".join(words)))
+        values = (batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (vids, los, his)), *(pa.array(v, pa.binary()) for v in (counts, kept)))
         yield pa.RecordBatch.from_arrays(list(values), names)
 
 
@@ -305,16 +309,35 @@ def _needed(sizes: np.ndarray | int, least: float) -> np.ndarray:
     return np.ceil(np.asarray(sizes) * (least / (1 + least)) - 1e-6)
 
 
-def similarity(one: bytes, other: bytes) -> float:
-    """Jaccard similarity of two shingle sets."""
-    a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+class _Sets(dict):
+    """Bounded memo from a text (its vid) to the sorted hashes of its shingles, made from its words."""
+
+    def __init__(self, width: int) -> None:
+        super().__init__()
+        self.width, self.size, self.unpack = width, 0, zstandard.ZstdDecompressor()
+
+    def of(self, vid: int, words: bytes) -> np.ndarray:
+        found = self.get(vid)
+        if found is None:
+            found = np.unique(shingle_hashes(self.unpack.decompress(words), self.width))
+            if self.size > MEMO_SHINGLES:
+                self.clear()
+                self.size = 0
+            self[vid] = found
+            self.size += len(found)
+        return found
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted shingle sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    sets = _Sets(width)
     for batch in batches:
-        good = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        good = [similarity(sets.of(a, x), sets.of(b, y)) >= least for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
         kept = batch.filter(pa.array(good, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
@@ -330,18 +353,20 @@ def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
 
-def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for value in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(value.as_py(), np.int64))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(unpack.decompress(value.as_py()), width)).view(np.int64))], ["key"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, common: np.ndarray, often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     """Rows (key, vid, label, size and place) for the first shingles of each text: rare ones first, then by hash."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         found: list[tuple[np.ndarray, ...]] = []
         for vid, label, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            shingles = np.frombuffer(value, np.uint64)
+            shingles = np.unique(shingle_hashes(unpack.decompress(value), width))
             if not len(shingles):
                 continue
             times = np.zeros(len(shingles), np.int64)
@@ -381,50 +406,69 @@ def _meeting(group: np.ndarray, vid: np.ndarray, label: np.ndarray, placed: np.n
     return (np.concatenate(left), np.concatenate(right)) if left else (vid[:0], vid[:0])
 
 
-def prefix_links(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a < b, of sets (vid, label, shingles) with unlike labels: all of similarity least or more, and others.
+def prefix_links(sets: DataFrame, width: int, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets (vid, label, words) with unlike labels: all of similarity least or more, and others.
 
     Whatever the order of shingles, the first one that two such sets share lies among the first 1 - least of
     either. The order is by frequency in a sample, so that few unlike texts meet; only cost hangs on it.
     """
-    sample = sets.filter(F.pmod(F.xxhash64("vid"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(_all_shingles, "key long")
+    sample = sets.filter(F.pmod(F.xxhash64("vid"), F.lit(SAMPLE)) == 0).select("words").mapInArrow(partial(_all_shingles, width=width), "key long")
     counted = sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
     common, often = counted.column("key").to_numpy().view(np.uint64), counted.column("n").to_numpy()
     order = np.argsort(common)
-    return _met(sets.select("vid", "label", "shingles"), partial(_prefixes, common=common[order], often=often[order], least=least), partial(_meeting, least=least))
+    return _met(sets.select("vid", "label", "words"), partial(_prefixes, width=width, common=common[order], often=often[order], least=least), partial(_meeting, least=least))
 
 
 def _copies(docs: DataFrame, width: int, least: float) -> DataFrame:
     """doc_id, row (text_key) and first (a struct of doc_id and row: those of the group's first row, by id, null last, then row) of each row of docs."""
     raw = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("row"), F.col("text").cast("binary").alias("data"))
-    schema = "doc_id long, row long, vid long, lo long, hi long, counts binary, shingles binary"
+    schema = "doc_id long, row long, vid long, lo long, hi long, counts binary, words binary"
     rows = stored(raw.mapInArrow(partial(_sketched, width=width), schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     texts = rows.groupBy("vid").agg(F.min(place).alias("rep"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("rid").alias("rid"))
     texts = stored(texts, "texts")
     repeats = stored(rows.select("rid").join(texts.select("rid"), "rid", "left_anti"), "repeats")
-    sets = rows.select("rid", "vid", "counts", "shingles").join(repeats, "rid", "left_anti").drop("rid")
+    sets = rows.select("rid", "vid", "counts", "words").join(repeats, "rid", "left_anti").drop("rid")
 
-    def paired(edges: DataFrame, column: str) -> DataFrame:
-        """edges (a, b) with column of both ends as one and other."""
+    def paired(edges: DataFrame, column: str, run: Callable, label: str) -> DataFrame:
+        """What run leaves of edges (a, b) with column of both ends."""
         total = edges.count()
+        half = edges
         for end, name in (("a", "one"), ("b", "other")):
             degree = edges.groupBy(end).agg(F.count("*").alias("degree"))
             facts = sets.select(F.col("vid").alias(end), F.col(column).alias(name)).join(degree, end)
-            edges = stored(lookup(edges, end, facts, F.col("degree"), total).drop("degree"), "half")
-        return edges.select("a", "b", "one", "other")
+            whole = lookup(half, end, facts, F.col("degree"), total).drop("degree")
+            half = stored(whole, "half") if name == "one" else whole.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+        return stored(half, label)
 
     def similar(edges: DataFrame) -> DataFrame:
-        whole = paired(edges, "shingles")
-        found = stored(whole.mapInArrow(partial(_verified, least=least), "a long, b long"), "similar")
-        drop_stored(whole)
-        return found
-
-    roots = components(similar(stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMITS), "found")))
-    labelled = sets.join(roots.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", F.coalesce("root", "vid").alias("label"), "shingles")
-    met = stored(prefix_links(labelled, least), "met")
-    more = similar(stored(paired(met, "counts").mapInArrow(partial(_possible, least=least), "a long, b long"), "possible"))
-    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
+        """Those of edges that hold, as far as they connect groups: one for each text first, then one for each two groups, then what is left between groups."""
+        left = edges.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        good = edges.limit(0)
+        for by in (["b"], ["ra", "rb"], None):
+            picked = left.select("a", "b") if by is None else left.groupBy(*by).agg(F.min(F.struct("a", "b")).alias("e")).select("e.a", "e.b")
+            picked = stored(picked, "picked")
+            if not picked.limit(1).count():
+                break
+            possible = paired(picked, "counts", partial(_possible, least=least), "possible")
+            good = good.unionByName(paired(possible, "words", partial(_verified, width=width, least=least), "similar"))
+            if by is None:
+                break
+            ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+            known = stored(ends.join(components(good).withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("p")), "pointers")
+            left = left.join(picked, ["a", "b"], "left_anti").select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+            left = through(through(stored(left, "left"), "ra", known), "rb", known).filter("ra <> rb")
+            left = stored(left.select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")), "left")
+            release(docs.sparkSession)
+        return good
+
+    found = stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMITS), "found")
+    release(docs.sparkSession)
+    roots = components(similar(found))
+    labelled = sets.join(roots.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", F.coalesce("root", "vid").alias("label"), "words")
+    met = stored(prefix_links(labelled, width, least), "met")
+    release(docs.sparkSession)
+    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(similar(met)))
     labels = texts.join(roots, texts["vid"] == roots["vertex"], "left").select("vid", "rep", F.coalesce("root", "vid").alias("root"))
     labels = stored(labels, "labels")
     named = labels.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
