@@ -222,7 +222,7 @@ def classify(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, accept: float
     """row (a struct of docs' columns), posterior, score (both: probability of good) and accepted.
 
     A null or empty text is scored on no words at all, which the labellers leave alone, and is
-    accepted if the corpus is mostly good. Repeated rows and null ids are scored alike;
+    accepted if the corpus is mostly good. Repeated rows and null ids are scored alike, very long texts whole;
     columns other than doc_id and text are passed on as they are, whatever their names. An
     empty table gives no rows.
     """

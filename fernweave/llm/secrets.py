@@ -136,8 +136,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Returns doc_id and spans, an array of (start, rank, end, kind) in order of start, then of
     the rules: code points, end exclusive, leftmost non-overlapping for each kind. A
-    null text counts as empty; rows that share a doc_id, or have none, are each scanned. An
-    empty table gives no rows.
+    null text counts as empty, a very long one is scanned whole; rows that share a doc_id, or have none, are each scanned; spans of
+    several rules that begin alike stand in the rules' order. An empty table gives no rows.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

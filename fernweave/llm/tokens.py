@@ -143,7 +143,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     Counts are those of the library without added special tokens; special strings in
     a text count as their one token. A null or empty text has 0 bytes and tokens.
     Other columns are ignored, repeated rows and null ids are counted like any other,
-    and an empty table gives no rows.
+    very long texts whole, and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,14 +137,20 @@ def _counted(seen: Counter, label: int) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> Model:
-    """Fit on a bounded sample (by hash of the id) of labelled rows that are not held out."""
+    """Fit on a bounded sample (by hash of the id) of labelled rows that are not held out.
+
+    Of labels that disagree on an id the toxic one counts. The model has FEATURES word features at most, each from LEAST_DOCUMENTS
+    toxic documents of the sample or more; no other row or text is left out. Without labels it has no feature.
+    """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("__id"))).withColumn("o", F.xxhash64(F.lit("toxicity"), "__id"))
     chosen = [known.filter(F.col("toxic") == c).orderBy("o", "__id").limit(n).drop("o") for c, n in ((1, fit_toxic), (0, fit_clean))]
     # fit_toxic + fit_clean rows at most
     sample = F.broadcast(stored(chosen[0].unionByName(chosen[1]), "labelled"))
     texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("binary").alias("data"))
-    texts = stored(texts.join(sample, "__id").select("toxic", "data"), "labelled-texts")
+    # of rows that share an id, one text
+    texts = texts.join(sample, "__id").groupBy("__id", "toxic").agg(F.min_by("data", F.struct(F.xxhash64("data"), "data")).alias("data"))
+    texts = stored(texts.select("toxic", "data"), "labelled-texts")
     totals = dict(texts.groupBy("toxic").count().collect())
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     schema = "feature long, clean long, toxic long"
@@ -178,7 +184,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     Positions are code points, end exclusive. A null or empty text has no sentence and gets the
     leak, the score of a document without any known word. Rows are scored one by one,
-    whatever their ids; an empty table gives no rows.
+    whatever their ids, and very long texts whole; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

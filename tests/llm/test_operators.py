@@ -216,10 +216,35 @@ def test_estimated_accuracies():
     assert abs((model.posterior(patterns)[inverse] > 0.5).mean() - 0.2 * (1 - 0.09)) < 0.06
 
 
+def test_counted_patterns_are_as_good_as_documents():
+    rng = np.random.default_rng(4)
+    rows = rng.choice(3**6, 400, p=(p := rng.random(3**6) ** 6) / p.sum())
+    patterns, counts = np.unique(rows, return_counts=True)
+    one, other = quality.estimate(patterns, counts.astype(float)), quality.estimate(rows, np.ones(len(rows)))
+    assert np.allclose(one.posterior(patterns), other.posterior(patterns), atol=1e-6)
+
+
+def plain_posterior(model, pattern):
+    """Bayes over the classes, vote by vote."""
+    odds = list(model.share)
+    for k in range(len(quality.LABELLERS)):
+        vote = pattern // 3 ** (len(quality.LABELLERS) - 1 - k) % 3
+        odds = [o * model.table[k, c, vote] for c, o in enumerate(odds)]
+    return 1 - odds[0] / sum(odds)
+
+
 def test_quality_of_odd_rows(odd, nothing, spark):
     assert quality.accepted(odd).columns == odd.columns
-    assert quality.classify(odd).count() == odd.count()
     assert quality.classify(nothing).count() == 0
+    model, weight = quality.train(odd)
+    shapes = quality.Shapes()
+    rows = quality.score(odd.repartition(3), model, weight).collect()
+    assert Counter((r.row.doc_id, r.row.text) for r in rows) == Counter((r.doc_id, r.text) for r in odd.collect())
+    for r in rows:
+        data = (r.row.text or "").encode()
+        at, share = quality.features(data.split(), shapes)
+        assert r.posterior == pytest.approx(1 - plain_posterior(model, quality.votes(data, data.split())))
+        assert r.score == pytest.approx(1 / (1 + np.exp(float(share @ weight[at] + weight[-1]))))
 
 
 # --- 5 toxicity ------------------------------------------------------------------------------------
@@ -263,8 +288,13 @@ def test_toxicity_held_out_accuracy(spark):
 def test_toxicity_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(0, 1, 1), (1, None, 0), (None, 1, 1), (5, 1, None), (0, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
-    rows = toxicity.score(odd, model).collect()
-    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    rows = toxicity.score(odd.repartition(3), model).join(odd.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id").eqNullSafe(F.col("i"))).collect()
+    assert toxicity.score(odd, model).count() == odd.count()
+    found = toxicity.Found(model.places)
+    for doc_id in {r.doc_id for r in rows}:
+        mine = [r for r in rows if r.doc_id == doc_id]
+        expected = {round(model.document([model.sentence(f) for _, _, f in toxicity.bag((r.text or "").encode(), found)]), 9) for r in mine}
+        assert {round(r.score, 9) for r in mine} == expected and all(0 <= r.score <= 1 for r in mine)
     assert toxicity.score(nothing, toxicity.train(nothing, labels.limit(0))).count() == 0
 
 
