@@ -15,26 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 DEFAULT_PORTS = {"http": 80, "https": 443}
-_PORT_AFTER = re.compile(r"^[^/?#:]+:\d{1,5}(?=$|[/?#])")
-_NAMED = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+#: something before a colon, and no port after it
+_NAMED = re.compile(r"[^:]*:(?!\d+(/|$))")
 
 
 def _with_scheme(text: str) -> str:
-    if "://" in text or (_NAMED.match(text) and not _PORT_AFTER.match(text)):
-        return text
-    return f"https://{text}"
+    return text if "://" in text or _NAMED.match(text) else f"https://{text}"
 
 
-def _checked(text: str) -> tuple[str, str, int | None, str, str]:
-    """Scheme, host, port (None if default), path and query of a public http(s) URL; ValueError otherwise."""
-    parts = urlsplit(_with_scheme(text.strip()))
+def _checked(text: str, as_is: bool = False) -> tuple[str, str, int | None, str, str]:
+    """Scheme, host, port (None if default), path and query of a public http(s) URL; ValueError otherwise. as_is: no scheme is supplied."""
+    parts = urlsplit(text if as_is else _with_scheme(text.strip()))
     scheme, host, port = parts.scheme.lower(), (parts.hostname or "").lower(), parts.port
     if scheme not in DEFAULT_PORTS or not host:
         raise ValueError("an http or https URL with a host is needed")
-    if port == 0:
-        raise ValueError("bad port")
-    bare = host.rstrip(".")
-    if bare == "localhost" or bare.endswith(".localhost"):
+    if host == "localhost" or host.endswith(".localhost"):
         raise ValueError("local host")
     try:
         address = ipaddress.ip_address(host)
@@ -82,9 +77,9 @@ def canonicalize_url(url: str, origin: str) -> str:
 
 
 def same_site(one: str | None, other: str | None) -> bool:
-    """Equal hosts but for one leading www., default ports alike, whatever the scheme."""
+    """Equal hosts but for one leading www., default ports alike, whatever the scheme; URLs without a scheme are on no site."""
     try:
-        keys = [(host.removeprefix("www."), None if port in (None, 80, 443) else port) for _, host, port, _, _ in (_checked(one or ""), _checked(other or ""))]
+        keys = [(host.removeprefix("www."), None if port in (None, 80, 443) else port) for _, host, port, _, _ in (_checked(one or "", as_is=True), _checked(other or "", as_is=True))]
     except ValueError:
         return False
     return keys[0] == keys[1]
@@ -183,9 +178,9 @@ def redacted(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"://[^/@\s]*@", "://"), r"(?i)(password=)[^\s&]+", "$1***")
 
 
-#: fixed value: path segments of pages that are not posts
-NOT_POST = r"(?i)(^|/)(about|contact|privacy|terms|tags?|category|authors?|attachments?|archives?)([/.?-]|$)"
-POST_MAP = r"(?i)(posts?|articles?|blog)"
+#: fixed values: path segments of pages that are not posts, and names of sitemaps that list posts
+NOT_POST = r"(?i)/(?:about|contact|privacy|terms|tag|tags|category|categories|author|authors|attachment|attachments|archive|archives)(?:/|$)"
+POST_MAP = r"(?i)(?:^|[-_/])(post|posts|article|articles|blog)(?:[-_.?/]|$)"
 
 
 def is_post_url(url: Column) -> Column:

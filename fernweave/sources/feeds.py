@@ -17,7 +17,8 @@ from fernweave.config import FeedError, SitemapError
 from fernweave.functions.url import canonicalize_url, same_site, try_normalize_url
 
 ATOM, RSS1, DC, FH = "http://www.w3.org/2005/Atom", "http://purl.org/rss/1.0/", "http://purl.org/dc/elements/1.1/", "http://purl.org/syndication/history/1.0"
-SITEMAP_SPACES = ("", "http://www.sitemaps.org/schemas/sitemap/0.9", "http://www.google.com/schemas/sitemap/0.84")
+#: fixed values
+SITEMAP_SPACES = ("", "http://www.sitemaps.org/schemas/sitemap/0.9", "https://www.sitemaps.org/schemas/sitemap/0.9")
 MAX_DEPTH = 5
 _ENTITY = re.compile(rb"<!ENTITY|<!DOCTYPE[^>]*\[", re.IGNORECASE)
 
@@ -111,7 +112,7 @@ def parse_robots_sitemaps(text: str, base: str) -> list[str]:
     for line in text.splitlines():
         key, colon, value = line.partition(":")
         if colon and key.strip().lower() == "sitemap" and value.strip():
-            found.append(urljoin(base, value.split("#")[0].strip()))
+            found.append(urljoin(base, value.strip()))
     return list(dict.fromkeys(found))
 
 
@@ -190,18 +191,19 @@ def sitemap_edges(fetched: DataFrame) -> DataFrame:
 def robots_sitemaps(fetched: DataFrame) -> DataFrame:
     """fetched(url, text) to url, pos, sitemap_url; absolute and relative links."""
     lines = fetched.select("url", F.posexplode(F.split("text", r"\R")).alias("pos", "line"))
-    value = F.trim(F.regexp_replace(F.regexp_extract("line", r"(?i)^\s*sitemap\s*:(.*)$", 1), "#.*$", ""))
+    value = F.trim(F.regexp_extract("line", r"(?i)^\s*sitemap\s*:(.*)$", 1))
     base = F.regexp_extract("url", r"^[A-Za-z]+://[^/]+", 0)
     target = F.when(value.rlike("^[A-Za-z]+://"), value).when(value.startswith("/"), F.concat(base, value)).otherwise(F.concat(base, F.lit("/"), value))
     return lines.filter(F.col("line").rlike(r"(?i)^\s*sitemap\s*:") & (value != "")).select("url", "pos", target.alias("sitemap_url"))
 
 
 def sitemap_candidates(robots_url, site_url):
-    """Sitemaps to try: those of robots first, else the usual places, without repeats (columns)."""
+    """Sitemaps to try (columns): those of robots without repeats, else those of the site's path and then the origin's."""
     path = F.regexp_replace(site_url, r"/+$", "")
     origin = F.regexp_extract(site_url, r"^[A-Za-z]+://[^/]+", 0)
-    usual = F.array(F.concat(path, F.lit("/sitemap.xml")), F.concat(path, F.lit("/wp-sitemap.xml")), F.concat(origin, F.lit("/sitemap.xml")))
-    return F.when(F.size(robots_url) > 0, F.array_distinct(robots_url)).otherwise(F.array_distinct(usual))
+    at_root = F.array(F.concat(origin, F.lit("/sitemap.xml")))
+    usual = F.when(path == origin, at_root).otherwise(F.concat(F.array(F.concat(path, F.lit("/sitemap.xml")), F.concat(path, F.lit("/wp-sitemap.xml"))), at_root))
+    return F.when(F.size(robots_url) > 0, F.array_distinct(robots_url)).otherwise(usual)
 
 
 def walk(edges: DataFrame, starts: DataFrame, post_map: str, limit: int, depth: int = MAX_DEPTH) -> DataFrame:
