@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging.config
 import os
+import tempfile
 from dataclasses import dataclass, fields
+from functools import cache
 
 
 @dataclass(frozen=True)
@@ -11,6 +14,13 @@ class Settings:
     embedding_dim: int = 2560
     embedding_batch_size: int = 32
     embedding_query_instruction: str = ""
+    #: without a base there is no client, and searches go by words alone
+    embedding_api_base: str = ""
+    embedding_api_key: str = ""
+    embedding_model: str = ""
+    embedding_timeout_seconds: float = 60.0
+    embedding_attempts: int = 3
+    log_level: str = "INFO"
     chunk_tokens: int = 384
     chunk_token_overlap: int = 32
     fetch_delay_seconds: float = 2.0
@@ -45,6 +55,35 @@ class Settings:
         return cls(**found)
 
 
+def configure_logging(level: str = "INFO") -> None:
+    """One handler on stderr with ISO times; the package logs from level on, everything else warnings."""
+    logging.config.dictConfig(
+        {
+            "version": 1,
+            "disable_existing_loggers": False,
+            "formatters": {"plain": {"format": "%(asctime)s %(levelname)s %(name)s: %(message)s", "datefmt": "%Y-%m-%dT%H:%M:%S%z"}},
+            "handlers": {"stderr": {"class": "logging.StreamHandler", "formatter": "plain", "stream": "ext://sys.stderr"}},
+            "loggers": {"fernweave": {"level": level}},
+            "root": {"handlers": ["stderr"], "level": "WARNING"},
+        }
+    )
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; one of this machine only where all runs on it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _local_folder()
+    return found.rstrip("/")
+
+
+@cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="fernweave-")
+
+
 class EngineError(Exception):
     """Base of all errors that the command line reports by message."""
 

@@ -2,42 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from fernweave.config import TokenizerError
 
-def window_count(tokens: Column, size: int, overlap: int) -> Column:
-    """One window up to size tokens, else no window within another."""
-    more = F.ceil((tokens - size) / (size - overlap)) + 1
-    return F.when(tokens <= 0, 0).when(tokens <= size, 1).otherwise(more).cast("int")
+_WORD = re.compile(r"\S+", re.ASCII)
+WINDOWS = "page_id long, chunk_no int, start_offset int, content_length int, content string"
 
 
-def word_windows(pages: DataFrame, size: int, overlap: int) -> DataFrame:
-    """page_id, chunk_no, start_offset, content_length, content: windows of white-space-separated words.
-
-    All in the JVM and linear in the text: words and the gaps before them are rows, offsets are running sums
-    within a page, and the content is joined again for the cut.
-    """
+def _windows(pages: DataFrame, offsets: Callable[[], Callable[[str], list[tuple[int, int]]]], size: int, overlap: int) -> DataFrame:
+    """page_id, chunk_no, start_offset, content_length, content: one linear pass over each text, within its row. offsets is called in the worker."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than the window")
-    words = F.regexp_extract_all("content", F.lit(r"\S+"), F.lit(0))
-    gaps = F.split("content", r"\S+", -1)
-    # the last part has a gap and no word
-    parts = pages.select("page_id", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("pos", "part")).filter("part.word IS NOT NULL")
-    sized = parts.select("page_id", "pos", F.length("part.gap").alias("gap"), F.length("part.word").alias("word"))
-    page = Window.partitionBy("page_id").orderBy("pos")
-    whole = Window.partitionBy("page_id")
-    placed = sized.withColumn("stop", F.sum(F.col("gap") + F.col("word")).over(page)).withColumn("tokens", F.count("*").over(whole))
-    placed = placed.withColumn("end", F.coalesce(F.lead("stop", size - 1).over(page), F.max("stop").over(whole)))
-    number = (F.col("pos") / (size - overlap)).cast("int")
-    starts = placed.filter((F.col("pos") % (size - overlap) == 0) & (number < window_count(F.col("tokens"), size, overlap)))
-    begin = F.col("stop") - F.col("word")
-    spans = starts.select("page_id", number.alias("chunk_no"), begin.cast("int").alias("start_offset"), (F.col("end") - begin).cast("int").alias("content_length"))
-    return chunk_text(spans, pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = offsets()
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        for batch in batches:
+            rows: list[tuple] = []
+            for page_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if content:
+                    rows += [(page_id, n, a, b - a, content[a:b]) for n, (a, b) in enumerate(spans_of(cut(content), size, overlap))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "chunk_no", "start_offset", "content_length", "content"])
+
+    return pages.select(F.col("page_id").cast("long"), "content").mapInArrow(run, WINDOWS)
+
+
+def word_windows(pages: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Windows of white-space-separated words of pages(page_id, content)."""
+    return _windows(pages, lambda: lambda text: [m.span() for m in _WORD.finditer(text)], size, overlap)
 
 
 def spans_of(offsets: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
@@ -56,25 +55,17 @@ def spans_of(offsets: list[tuple[int, int]], size: int, overlap: int) -> list[tu
 
 def token_windows(pages: DataFrame, tokenizer_path: str, size: int = 384, overlap: int = 32) -> DataFrame:
     """As word_windows, over the tokens of a tokenizer file; blank content has no window."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be less than the window")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load() -> Callable[[str], list[tuple[int, int]]]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        for batch in batches:
-            rows: list[tuple] = []
-            for page_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if content and content.strip():
-                    offsets = tokenizer.encode(content, add_special_tokens=False).offsets
-                    rows += [(page_id, n, a, b - a, content[a:b]) for n, (a, b) in enumerate(spans_of(offsets, size, overlap))]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "chunk_no", "start_offset", "content_length", "content"])
+        try:
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+        except Exception as e:
+            raise TokenizerError(f"no tokenizer at {tokenizer_path}: {e}") from e
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).offsets if text.strip() else []
 
-    schema = "page_id long, chunk_no int, start_offset int, content_length int, content string"
-    return pages.select(F.col("page_id").cast("long"), "content").mapInArrow(run, schema)
+    return _windows(pages, load, size, overlap)
 
 
 def chunk_text(chunks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.functions.text import terms
@@ -14,17 +18,31 @@ K1, B = 1.2, 0.75
 DENSE_WEIGHT, BM25_WEIGHT = 2.0, 0.5
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def cosines(chunks: DataFrame, query: list[float]) -> DataFrame:
+    """chunk_id, page_id and score of chunks(chunk_id, page_id, embedding): one matrix product for each batch.
 
-
-def cosine(a: Column, b: Column) -> Column:
-    """Null if either vector is zero."""
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def vector(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    In double precision; vectors that are zero, of another length, null or with nulls have no score and give no row.
+    """
+    wanted = np.asarray(query, np.float64)
+    norm = float(np.sqrt(wanted @ wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(2)
+            whole = pc.fill_null(pc.equal(pc.list_value_length(vectors), len(wanted)), False)
+            batch = batch.filter(whole)
+            flat = batch.column(2).flatten()
+            matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, len(wanted))
+            size = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * norm
+            good = size != 0
+            if flat.null_count:
+                good &= flat.is_valid().to_numpy(zero_copy_only=False).reshape(matrix.shape).all(1)
+            score = (matrix @ wanted)[good] / size[good]
+            kept = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(score)], ["chunk_id", "page_id", "score"])
+
+    rows = chunks.select(F.col("chunk_id").cast("long"), F.col("page_id").cast("long"), "embedding")
+    return rows.mapInArrow(run, "chunk_id long, page_id long, score double")
 
 
 def dense_top_k(chunks: DataFrame, query: list[float], k: int, filters: tuple[SearchFilter, ...] = (), decimals: int | None = None) -> DataFrame:
@@ -33,9 +51,10 @@ def dense_top_k(chunks: DataFrame, query: list[float], k: int, filters: tuple[Se
     chunks holds chunk_id, page_id and embedding and, for filters, language and published_at, so that
     filters prune before vectors are read. Exact: k partial heaps, one merge.
     """
-    score = cosine(F.col("embedding"), vector(query))
-    scored = chunks.filter(compiled(filters, chunks)).select("chunk_id", "page_id", (F.round(score, decimals) if decimals is not None else score).alias("score"))
-    return scored.filter("score IS NOT NULL").orderBy(F.desc("score"), "chunk_id").limit(k)
+    scored = cosines(chunks.filter(compiled(filters, chunks)), query)
+    if decimals is not None:
+        scored = scored.withColumn("score", F.round("score", decimals))
+    return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 @dataclass(frozen=True)
@@ -49,19 +68,32 @@ class LexicalIndex:
 
 
 def lexical_index(chunks: DataFrame) -> LexicalIndex:
-    """From chunks(chunk_id, page_id, content); the statistics are those of all chunks."""
+    """From chunks(chunk_id, page_id, content); the statistics are those of all chunks. Texts are cut into words once for each part that is read."""
     words = chunks.select("chunk_id", "page_id", terms(F.col("content")).alias("terms"))
     postings = words.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"))
-    stats = words.select("chunk_id", "page_id", F.size("terms").alias("dl"))
+    return _with_statistics(postings, words.select("chunk_id", "page_id", F.size("terms").alias("dl")))
+
+
+def _with_statistics(postings: DataFrame, stats: DataFrame) -> LexicalIndex:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     return LexicalIndex(postings, stats, df, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
-def write_index(index: LexicalIndex, path: str, partitions: int = 64) -> None:
-    """Postings are clustered and sorted by term, so a query reads the row groups of its terms only."""
-    index.postings.repartitionByRange(partitions, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("chunk_stats", "term_stats", "corpus"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def write_index(chunks: DataFrame, path: str, partitions: int = 64) -> None:
+    """Write the index of chunks(chunk_id, page_id, content), cutting the texts into words once.
+
+    Postings are clustered and sorted by term, so a query reads the row groups of its terms only; the statistics come from them.
+    """
+    spark = chunks.sparkSession
+    postings = lexical_index(chunks).postings
+    postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("dl"))
+    stats = chunks.select("chunk_id", "page_id").join(lengths, "chunk_id", "left").select("chunk_id", "page_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
+    made = _with_statistics(postings, spark.read.parquet(f"{path}/chunk_stats"))
+    made.term_stats.repartitionByRange(max(1, partitions // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+    made.corpus.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def read_index(spark, path: str) -> LexicalIndex:
