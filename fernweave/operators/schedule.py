@@ -20,6 +20,14 @@ def claim_due(sites: DataFrame, now: Column, count: int = 1) -> DataFrame:
     return due.select("id", "base_url", after(now, LEASE_SECONDS).alias("poll_lease_until"), token.alias("poll_lease_token"))
 
 
+def apply_poll_claims(sites: DataFrame, claims: DataFrame) -> DataFrame:
+    """Write the leases of claim_due() into the snapshot."""
+    new = claims.select("id", F.col("poll_lease_until").alias("new_until"), F.col("poll_lease_token").alias("new_token"))
+    joined = sites.join(new, "id", "left")
+    made = {"poll_lease_until": F.coalesce("new_until", "poll_lease_until"), "poll_lease_token": F.coalesce("new_token", "poll_lease_token")}
+    return joined.select(*[made.get(c, F.col(c)).alias(c) for c in sites.columns])
+
+
 def renew_poll(sites: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     """claims(id, token): the token alone is checked."""
     joined = sites.join(claims.select("id", "token"), "id", "left")
@@ -72,6 +80,12 @@ def scatter(sites: DataFrame, now: Column, interval: int) -> DataFrame:
     return placed.select("id", after(now, scatter_offset(interval, F.col("position"), F.col("total"))).alias("next_poll_at"))
 
 
+def apply_scatter(sites: DataFrame, placed: DataFrame) -> DataFrame:
+    """Write the times of scatter() into the snapshot."""
+    joined = sites.join(placed.select("id", F.col("next_poll_at").alias("placed_at")), "id", "left")
+    return joined.withColumn("next_poll_at", F.coalesce("placed_at", "next_poll_at")).select(*sites.columns)
+
+
 def upsert_sites(sites: DataFrame, configs: DataFrame, now: Column) -> DataFrame:
     """configs(base_url, sitemap_url, feed_url, delay): new sites are added, known ones keep their state unless the feed changes."""
     new = configs.select("base_url", F.col("sitemap_url").alias("new_sitemap"), F.col("feed_url").alias("new_feed"), "delay")

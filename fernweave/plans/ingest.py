@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from fernweave.functions.url import is_same_site
 from fernweave.operators.chunk import word_windows
 from fernweave.sources.fetch import error_kind
 from fernweave.sources.html import extracted
+from fernweave.sources.tables import embedded
 
 
 @dataclass(frozen=True)
@@ -26,8 +28,8 @@ class Attempt:
 def attempts(claims: DataFrame, responses: DataFrame, pages: DataFrame, now: Column, size: int = 384, overlap: int = 32) -> Attempt:
     """claims(id, site_id, url, lease_token), responses(url, final_url, status, content_type, body).
 
-    A job whose URL is a page already is done. A response from another site, a bad status or type and an unextractable
-    page are errors of their kind; what is left becomes a page under the job's URL, not the one it was redirected to.
+    A job whose URL is a page already is done. A bad status or type is an error of its kind, a response from another site
+    and a page without an article are errors of content; what is left becomes a page under the job's URL, not the one it was redirected to.
     """
     known = pages.select("url", F.lit(True).alias("known"))
     joined = claims.join(known, "url", "left").join(responses, "url", "left")
@@ -35,7 +37,7 @@ def attempts(claims: DataFrame, responses: DataFrame, pages: DataFrame, now: Col
         F.when(F.col("known"), F.lit(None).cast("string"))
         .when(F.col("status").isNull(), "transient")
         .when(error_kind(F.col("status"), F.col("content_type")).isNotNull(), error_kind(F.col("status"), F.col("content_type")))
-        .when(~is_same_site(F.coalesce("final_url", "url"), F.col("url")), "permanent")
+        .when(~is_same_site(F.coalesce("final_url", "url"), F.col("url")), "content")
     )
     judged = joined.withColumn("kind", kind)
     read = judged.withColumn("page", F.when(F.col("kind").isNull() & F.col("known").isNull(), extracted(decoded("body"))))
@@ -54,3 +56,9 @@ def attempts(claims: DataFrame, responses: DataFrame, pages: DataFrame, now: Col
         "id", F.col("lease_token").alias("token"), F.when(F.col("kind").isNull(), "done").otherwise("error").alias("outcome"), F.col("kind").alias("error_kind"), error.alias("error")
     )
     return Attempt(made, chunks, reports)
+
+
+def embedded_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
+    """Chunks of attempts() with their vectors, as the relation has them."""
+    vectors = embedded(chunks.select("id", "text"), embed, batch)
+    return chunks.join(vectors, "id").select("id", "page_id", "start_offset", "content_length", "embedding")

@@ -48,9 +48,9 @@ def append_pages(new: DataFrame, pages: DataFrame) -> DataFrame:
     return new.join(first, ["url", "id"], "left_semi").join(pages.select("url"), "url", "left_anti")
 
 
-def postings(chunks: DataFrame, terms) -> DataFrame:
-    """term, chunk_id, tf of chunks(chunk_id, content): content only, no title."""
-    return chunks.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"))
+def append_new(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """The rows of new whose key is not in old, one of each."""
+    return new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*new.columns)
 
 
 def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
