@@ -6,12 +6,15 @@ events crawl jobs, pages raw HTML, benchmark query texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernweave.config import shared_folder
 from fernweave.functions import text as T
 from fernweave.functions import url as U
 from fernweave.operators import chunk, queue, rank, retrieve, schedule, status
@@ -141,8 +144,17 @@ BM25 = f"""br AS (SELECT chunk_id, page_id, {_SCORE} AS score FROM po JOIN td US
     GROUP BY chunk_id, page_id ORDER BY score DESC, chunk_id LIMIT 64)"""
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, sf):
-    return retrieve.lexical_index(pages(spark, sf).select(F.col("page_id").alias("chunk_id"), "page_id", "content"))
+    """The index of the pages, which a session writes once for each folder, as the engine does after a change, and then reads."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _written:
+        path = f"{shared_folder(spark)}/lexical-index-{uuid.uuid4().hex}"
+        retrieve.write_index(pages(spark, sf).select(F.col("page_id").alias("chunk_id"), "page_id", "content"), path, 8)
+        _written[key] = path
+    return retrieve.read_index(spark, _written[key])
 
 
 @query("r2_bm25_topk", f"WITH {PAGES}, {LEXICAL}, {BM25} SELECT * FROM br")
@@ -156,9 +168,11 @@ def _(spark, sf):
     return retrieve.bm25_top_k(_index(spark, sf), S.query_terms(WORDS), 64, pages(spark, sf), (by_language("en"),), decimals=DIGITS)
 
 
-@query("u22_postings", f"WITH {PAGES}, {LEXICAL} SELECT term, df FROM td WHERE df >= 20")
+@query("u22_postings", f"WITH {PAGES}, {LEXICAL} SELECT term, df, sum(tf)::BIGINT AS tf, sum(chunk_id)::BIGINT AS held_by FROM po JOIN td USING (term) GROUP BY ALL")
 def _(spark, sf):
-    return _index(spark, sf).term_stats.filter("df >= 20")
+    made = _index(spark, sf)
+    held = made.postings.groupBy("term").agg(F.sum("tf").cast("long").alias("tf"), F.sum("chunk_id").alias("held_by"))
+    return made.term_stats.join(held, "term").select("term", "df", "tf", "held_by")
 
 
 RUNS = f"""r0 AS (SELECT 0 AS run_no, 2.0::DOUBLE AS weight, chunk_id, page_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM dr
@@ -259,12 +273,16 @@ def _(spark, sf):
     return _table(spark, sf, "events").select("event_id", T.confidence(F.col("value") % 1).alias("confidence"))
 
 
-_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+_SECTIONS = "about contact privacy terms tag tags category categories author authors attachment attachments archive archives".split()
+#: what pages are asked under besides their own paths
+_PATHS = ("about-me", "About", "Tags/x", "categories/x", "contact-tracing", "archive.html", "terms-of-service-review", "2024/archives", "author/jane/", "roundabout/post", "privacy?x=1", "x.tag/category")
 
 
-@query("p7_post_urls", f"SELECT page_id, NOT regexp_matches({_PATH}, '{U.NOT_POST}') AS is_post FROM pages")
+@query("p7_post_urls", f"""SELECT page_id, NOT list_has_any(string_split(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/')[2:], {_SECTIONS}) AS is_post,
+    NOT list_has_any(string_split(lower(regexp_replace({list(_PATHS)}[page_id % {len(_PATHS)} + 1], '[?].*', '')), '/'), {_SECTIONS}) AS other_is_post FROM pages""")
 def _(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", U.is_post_url(F.col("url")).alias("is_post"))
+    other = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("page_id") % len(_PATHS) + 1).cast("int"))
+    return _table(spark, sf, "pages").select("page_id", U.is_post_url(F.col("url")).alias("is_post"), U.is_post_url(F.concat(F.lit("https://about.example/"), other)).alias("other_is_post"))
 
 
 _PLAIN_HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
@@ -299,11 +317,6 @@ def _(spark, sf):
     return df.crossJoin(F.broadcast(first)).select("page_id", U.is_same_site("url", "other").alias("same"))
 
 
-@query("u7_query_parameter")
-def _(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", U.query_set("url", F.lit("paged"), F.lit("2")).alias("url"))
-
-
 @query("s13_pages_by_id", f"WITH {PAGES} SELECT page_id, title FROM pg WHERE page_id IN (SELECT vec_id // 3 FROM embeddings WHERE label = 3)")
 def _(spark, sf):
     ids = _table(spark, sf, "embeddings").filter("label = 3").select(F.floor(F.col("vec_id") / 3).cast("long").alias("page_id"))
@@ -492,12 +505,18 @@ def _(spark, sf):
     return schedule.upsert_sites(sites(spark, sf), _configs(spark, sf), _now()).select("base_url", "feed_url", *_seconds("next_poll_at"), "feed_etag", "poll_failures", "history_pending")
 
 
-@query("w2_delete_sites", f"WITH {SITES}, {JOBS} SELECT 'job' AS kind, count(*) AS n FROM jb WHERE site_id NOT IN (SELECT id FROM st WHERE id % 3 = 0) UNION ALL SELECT 'site', count(*) FROM st WHERE id % 3 <> 0")
+@query("w2_delete_sites", f"""WITH {SITES}, {JOBS}, {PAGES}, {CHUNKS}, gone AS (SELECT id FROM st WHERE id % 3 = 0)
+    SELECT 'job' AS kind, count(*) AS n, sum(id)::BIGINT AS total FROM jb WHERE site_id NOT IN (FROM gone) UNION ALL SELECT 'site', count(*), sum(id)::BIGINT FROM st WHERE id % 3 <> 0
+    UNION ALL SELECT 'page', count(*), sum(page_id)::BIGINT FROM pg WHERE page_id % 50 NOT IN (FROM gone)
+    UNION ALL SELECT 'chunk', count(*), sum(chunk_id)::BIGINT FROM ch WHERE page_id NOT IN (SELECT page_id FROM pg WHERE page_id % 50 IN (FROM gone))
+    UNION ALL SELECT 'deleted', count(*), sum(length(base_url))::BIGINT FROM st WHERE id % 3 = 0""")
 def _(spark, sf):
     gone = sites(spark, sf).filter("id % 3 = 0").select("base_url")
     paged = pages(spark, sf).select(F.col("page_id").alias("id"), (F.col("page_id") % 50).alias("site_id"))
     left = schedule.delete_sites(gone, sites(spark, sf), jobs(spark, sf), paged, chunks(spark, sf))
-    return left["crawl_jobs"].agg(F.lit("job").alias("kind"), F.count("*").alias("n")).unionByName(left["sites"].agg(F.lit("site").alias("kind"), F.count("*").alias("n")))
+    kinds = (("job", "crawl_jobs", "id"), ("site", "sites", "id"), ("page", "pages", "id"), ("chunk", "chunks", "chunk_id"), ("deleted", "deleted", "base_url"))
+    made = [left[name].agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(F.length(by) if kind == "deleted" else by).cast("long").alias("total")) for kind, name, by in kinds]
+    return reduce(DataFrame.unionByName, made)
 
 
 # --- status ---------------------------------------------------------------------------------------
@@ -531,15 +550,13 @@ def _(spark, sf):
     return made.select("page_id", "chunk_no", F.regexp_replace("content", r"\s+", " ").alias("words"))
 
 
-@query("u10_offsets", f"WITH {PAGES} SELECT page_id, length(content) AS n FROM pg WHERE regexp_matches(content, '\\S')")
+@query("u10_offsets", f"""WITH {PAGES}, {WINDOWS}, tl AS (SELECT page_id, ws, regexp_extract_all(content, '\\s*\\S+') AS gs FROM tk WHERE len(ws) > 0),
+    pl AS (SELECT page_id, ws, list_transform(gs, lambda g: length(g)) AS gl FROM tl),
+    sp AS (SELECT page_id, ws, gl, i FROM pl JOIN (SELECT page_id, unnest(range(0, n)) AS i FROM cn) USING (page_id))
+    SELECT page_id, i::INTEGER AS chunk_no, (list_sum(gl[1:i * 56 + 1]) - length(ws[i * 56 + 1]))::INTEGER AS start_offset,
+    (list_sum(gl[1:least(i * 56 + 64, len(ws))]) - list_sum(gl[1:i * 56 + 1]) + length(ws[i * 56 + 1]))::INTEGER AS content_length FROM sp""")
 def _(spark, sf):
-    """The windows' spans, put together, are the trimmed text; shown as the text's length where that holds."""
-    whole = pages(spark, sf)
-    made = chunk.word_windows(whole, 64, 8).groupBy("page_id").agg(F.min("start_offset").alias("a"), F.max(F.col("start_offset") + F.col("content_length")).alias("b"))
-    joined = whole.join(made, "page_id")
-    lead = F.length(F.regexp_extract("content", r"^\s*", 0))
-    tail = F.length(F.regexp_replace("content", r"\s+$", ""))
-    return joined.select("page_id", F.when((F.col("a") == lead) & (F.col("b") == tail), F.length("content")).alias("n"))
+    return chunk.word_windows(pages(spark, sf), 64, 8).select("page_id", "chunk_no", F.col("start_offset").cast("int").alias("start_offset"), F.col("content_length").cast("int").alias("content_length"))
 
 
 @query("u11_embedding_text", f"WITH {PAGES} SELECT page_id, md5(CASE WHEN title IS NOT NULL AND title <> '' THEN title || chr(10) || chr(10) || content ELSE content END) AS digest FROM pg")
@@ -558,13 +575,15 @@ def _(spark, sf):
     return _table(spark, sf, "events").select("event_id", T.next_state(F.col("event_id") % 12, kind).alias("state"))
 
 
-@query("u18_payload", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 2 END AS vectors FROM events")
+@query("u18_payload", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '0.5 ' || event_id || ' 3.0 ' || user_id || '.25' END AS vectors FROM events")
 def _(spark, sf):
     """Of four payloads only the first one is right: its indexes come out of order."""
-    bodies = ('{"data":[{"index":1,"embedding":[3,4]},{"index":0,"embedding":[1,2]}]}', '{"data":[{"index":true,"embedding":[1,2]},{"index":1,"embedding":[1,2]}]}', '{"data":[{"index":0,"embedding":[1,2]},{"index":2,"embedding":[1,2]}]}', '{"error":"x"}')
-    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 4 + 1).cast("int"))
-    vectors = T.embeddings_payload(body, F.lit(2), 2)
-    return _table(spark, sf, "events").select("event_id", F.when(vectors.isNotNull(), F.size(vectors)).alias("vectors"))
+    n, m = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    good = F.concat(F.lit('{"data":[{"index":1,"embedding":[3,'), m, F.lit('.25]},{"index":0,"embedding":[0.5,'), n, F.lit("]}]}"))
+    bodies = (good, F.lit('{"data":[{"index":true,"embedding":[5,6]},{"index":1,"embedding":[7,8]}]}'), F.lit('{"data":[{"index":0,"embedding":[5,6]},{"index":2,"embedding":[7,8]}]}'), F.lit('{"error":"x"}'))
+    vectors = T.embeddings_payload(F.element_at(F.array(*bodies), (F.col("event_id") % 4 + 1).cast("int")), F.lit(2), 2)
+    told = F.concat_ws(" ", vectors[0][0].cast("string"), vectors[0][1].cast("long").cast("string"), vectors[1][0].cast("string"), vectors[1][1].cast("string"))
+    return _table(spark, sf, "events").select("event_id", F.when(vectors.isNotNull(), told).alias("vectors"))
 
 
 @query("u19_retryable", "SELECT event_id, (400 + event_id % 120) IN (429, 500, 502, 503, 504) AS retry, pow(2, event_id % 3)::BIGINT AS wait FROM events")
@@ -577,10 +596,14 @@ def _(spark, sf):
     return _table(spark, sf, "events").select("event_type", T.is_language_code(F.substring("event_type", 1, 2)).alias("good")).distinct()
 
 
-@query("u21_redaction", "SELECT page_id, url FROM pages")
+@query("u21_redaction", """SELECT page_id, [split_part(url, '://', 1) || '://' || split_part(url, '://', 2), 'host=db password=*** user=u' || page_id, 'postgresql://db.example/p' || page_id || '?sslmode=on', 'no secret @ all'][page_id % 4 + 1] AS url FROM pages""")
 def _(spark, sf):
-    dsn = F.regexp_replace("url", "://", "://user:secret@")
-    return _table(spark, sf, "pages").select("page_id", U.redacted(dsn).alias("url"))
+    key = F.col("page_id").cast("string")
+    given = F.array(
+        F.regexp_replace("url", "://", "://user:secret@"), F.concat(F.lit("host=db password=p4ss"), key, F.lit(" user=u"), key),
+        F.concat(F.lit("postgresql://me:"), key, F.lit("@db.example/p"), key, F.lit("?sslmode=on")), F.lit("no secret @ all"),
+    )
+    return _table(spark, sf, "pages").select("page_id", U.redacted(F.element_at(given, (F.col("page_id") % 4 + 1).cast("int"))).alias("url"))
 
 
 @query("u8_language")
@@ -620,43 +643,56 @@ def _(spark, sf):
     return html.article_pages(_table(spark, sf, "pages"))
 
 
-@query("s6_robots", "SELECT 'https://c' || c_custkey || '.example/map.xml' AS sitemap_url FROM customer")
+@query("s6_robots", "SELECT 'https://c' || c_custkey || '.example/' || unnest(CASE WHEN c_custkey % 3 = 0 THEN ['map.xml#' || c_custkey] WHEN c_custkey % 3 = 1 THEN ['a.xml', 'b' || c_custkey || '.xml'] ELSE [] END) AS sitemap_url FROM customer")
 def _(spark, sf):
     key = F.col("c_custkey").cast("string")
     base = F.concat(F.lit("https://c"), key, F.lit(".example"))
-    fetched = _table(spark, sf, "customer").select(F.concat(base, F.lit("/robots.txt")).alias("url"), F.lit("User-agent: *\nSITEMAP: /map.xml # here\nDisallow: /x").alias("text"))
+    told = F.element_at(
+        F.array(
+            F.concat(F.lit("User-agent: *\nSITEMAP:  /map.xml#"), key, F.lit("\nDisallow: /x")), F.concat(F.lit("sitemap: a.xml\r\n Sitemap :"), base, F.lit("/b"), key, F.lit(".xml")),
+            F.lit("# Sitemap: /no.xml\nSitemap:\nsitemaps: /no.xml"),
+        ),
+        (F.col("c_custkey") % 3 + 1).cast("int"),
+    )
+    fetched = _table(spark, sf, "customer").select(F.concat(base, F.lit("/robots.txt")).alias("url"), told.alias("text"))
     return feeds.robots_sitemaps(fetched).select("sitemap_url")
 
 
-@query("s7_sitemap_candidates", "SELECT id, base_url || '/blog/sitemap.xml,' || base_url || '/blog/wp-sitemap.xml,' || base_url || '/sitemap.xml' AS candidates FROM (SELECT c_custkey AS id, 'https://c' || c_custkey || '.example' AS base_url FROM customer)")
+@query("s7_sitemap_candidates", """SELECT id, CASE id % 3 WHEN 0 THEN base_url || '/told.xml' WHEN 1 THEN base_url || '/blog/sitemap.xml,' || base_url || '/blog/wp-sitemap.xml,' || base_url || '/sitemap.xml' ELSE base_url || '/sitemap.xml' END AS candidates
+    FROM (SELECT c_custkey AS id, 'https://c' || c_custkey || '.example' AS base_url FROM customer)""")
 def _(spark, sf):
-    none = F.array().cast("array<string>")
-    return sites(spark, sf).select("id", F.array_join(feeds.sitemap_candidates(none, F.concat("base_url", F.lit("/blog/"))), ",").alias("candidates"))
+    told = F.when(F.col("id") % 3 == 0, F.array(F.concat("base_url", F.lit("/told.xml")))).otherwise(F.array().cast("array<string>"))
+    site = F.concat("base_url", F.when(F.col("id") % 3 == 2, "/").otherwise("/blog/"))
+    return sites(spark, sf).select("id", F.array_join(feeds.sitemap_candidates(told, site), ",").alias("candidates"))
 
 
-@query("s5_s8_sitemap_walk", "SELECT site, 1 + p AS pos, 'https://x.example/' || site || '/' || p AS url FROM (SELECT 's' || c_custkey AS site, unnest([0, 1, 2]) AS p FROM customer)")
+@query("s5_s8_sitemap_walk", """SELECT site, 1 + p AS pos, 'https://x.example/' || site || '/' || p AS url
+    FROM (SELECT 's' || c_custkey AS site, unnest(CASE c_custkey % 3 WHEN 0 THEN [0, 1, 2] WHEN 1 THEN [0, 1] ELSE [] END) AS p FROM customer)""")
 def _(spark, sf):
-    """An index with a cycle, and a sitemap that repeats a page."""
+    """An index with a cycle and a sitemap that repeats a page; an index of which one sitemap is of posts; documents of a namespace that is not theirs."""
     site = F.concat(F.lit("s"), F.col("c_custkey").cast("string"))
 
-    def doc(root: str, item: str, *locs):
+    def doc(space: str, root: str, item: str, *locs):
         inner = F.concat(*[F.concat(F.lit(f"<{item}><loc>"), loc, F.lit(f"</loc></{item}>")) for loc in locs])
-        return F.concat(F.lit(f'<{root} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), inner, F.lit(f"</{root}>"))
+        return F.concat(F.lit(f'<{root} xmlns="{space}">'), inner, F.lit(f"</{root}>"))
 
     def page(n: int):
         return F.concat(F.lit("https://x.example/"), site, F.lit(f"/{n}"))
 
     def name(n: str):
-        return F.concat(F.lit(f"https://x.example/{n}-"), site)
+        return F.concat(F.lit(f"https://myblogger.example/{n}-"), site)
 
+    plain, safe, other = "http://www.sitemaps.org/schemas/sitemap/0.9", "https://www.sitemaps.org/schemas/sitemap/0.9", "https://example.org/schema"
     base = _table(spark, sf, "customer")
-    docs = [(name("index"), doc("sitemapindex", "sitemap", name("a"), name("index"), name("b"))), (name("a"), doc("urlset", "url", page(0), page(1))), (name("b"), doc("urlset", "url", page(1), page(2)))]
-    fetched = None
-    for url, body in docs:
-        part = base.select(url.alias("url"), body.cast("binary").alias("body"))
-        fetched = part if fetched is None else fetched.unionByName(part)
+    cycle, posts, strange = ("c_custkey % 3 = 0", "c_custkey % 3 = 1", "c_custkey % 3 = 2")
+    docs = [
+        (cycle, name("index"), doc(plain, "sitemapindex", "sitemap", name("a"), name("index"), name("b"))), (cycle, name("a"), doc(safe, "urlset", "url", page(0), page(1))), (cycle, name("b"), doc(plain, "urlset", "url", page(1), page(2))),
+        (posts, name("index"), doc(safe, "sitemapindex", "sitemap", name("pages"), name("post"))), (posts, name("pages"), doc(plain, "urlset", "url", page(7))), (posts, name("post"), doc(safe, "urlset", "url", page(0), page(1), page(0))),
+        (strange, name("index"), doc(other, "urlset", "url", page(8))),
+    ]
+    parts = [base.filter(where).select(url.alias("url"), body.cast("binary").alias("body")) for where, url, body in docs]
     starts = base.select(site.alias("site"), name("index").alias("sitemap_url"))
-    return feeds.walk(feeds.sitemap_edges(fetched), starts, U.POST_MAP, 100)
+    return feeds.walk(feeds.sitemap_edges(reduce(DataFrame.unionByName, parts)), starts, U.POST_MAP, 100)
 
 
 # --- extensions: not operators of the reference --------------------------------------------------
@@ -689,3 +725,6 @@ def _(spark, sf):
     origin = F.concat(F.lit("https://c"), (F.col("event_id") % 400).cast("string"), F.lit(".example"))
     rows = _table(spark, sf, "events").select(origin.alias("origin"), F.concat(origin, F.lit("/feed")).alias("feed_url"), F.col("event_id").alias("line_no"))
     return import_requests(rows, sites(spark, sf), "csv")[1]
+
+
+from fernweave import site_queries  # noqa: E402, F401
