@@ -42,6 +42,7 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
         ids = np.concatenate(held)
         held.clear()
         payload = rangecoder.encode(ids)
+        del ids
         values = ([part], [number], [count], [doc_ids], [sizes], [payload])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["part", "frame", "n_ids", "doc_ids", "sizes", "payload"])

@@ -24,7 +24,7 @@ import numpy as np
 
 MAGIC = b"FWR2"
 #: ids of a block, lanes of a block, and ids of a lane at least
-BLOCK, LANES, LEAST_IDS = 1 << 22, 8192, 512
+BLOCK, LANES, LEAST_IDS = 1 << 21, 4096, 512
 MAX_ID = (1 << 18) - 1
 #: cells of all order-1 rows together, rows at most, bits of a place in the order-2 table
 CELLS, ROWS, TABLE2 = 1 << 20, 1024, 18
@@ -285,11 +285,14 @@ def encode_block(ids: np.ndarray) -> bytes:
         raise ValueError("too many ids for a block")
     lanes = max(1, min(LANES, n // LEAST_IDS))
     steps = -(-n // lanes)
-    whole = np.full(lanes * steps, ids[-1] if n else 0, np.int64)
-    whole[:n] = ids
-    coded = _encode_lanes(np.ascontiguousarray(whole.reshape(lanes, steps).T), size) if n else []
+    check = zlib.crc32(ids.astype("<u4").tobytes())
+    columns = np.empty((steps, lanes), np.int64)
+    if n:
+        # the last lane ends with the last id, repeated
+        columns.T[:] = np.pad(ids, (0, lanes * steps - n), mode="edge").reshape(lanes, steps)
+    coded = _encode_lanes(columns, size) if n else []
     lengths = zlib.compress(np.array([len(c) // 2 for c in coded], "<u2").tobytes(), 9)
-    return b"".join([struct.pack("<IIIII", n, size, len(coded), zlib.crc32(whole[:n].astype("<u4").tobytes()), len(lengths)), lengths, *coded])
+    return b"".join([struct.pack("<IIIII", n, size, len(coded), check, len(lengths)), lengths, *coded])
 
 
 def decode_block(block: bytes) -> np.ndarray:
