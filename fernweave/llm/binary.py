@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernweave.llm import rangecoder
-from fernweave.llm.common import batches_of, shared_dir, size_of, table
+from fernweave.llm.common import batches_of, shared_dir, size_of, table, trim
 from fernweave.llm.tokens import TOKENIZER, pieces, vocabulary_path
 
 END_ID = 1
@@ -43,11 +43,13 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
         held.clear()
         payload = rangecoder.encode(ids)
         del ids
+        trim()
         values = ([part], [number], [count], [doc_ids], [sizes], [payload])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["part", "frame", "n_ids", "doc_ids", "sizes", "payload"])
 
     part = 0
+    trim()
     for batch in batches:
         part = batch.column(0)[0].as_py() if batch.num_rows else part
         for doc_id, value in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -98,6 +100,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crc = [zlib.crc32(ids[starts[d] : starts[d + 1]].astype("<u4").tobytes()) for d in here]
                 values = ([part] * len(here), [frame] * len(here), doc_ids[at : at + ROWS], starts[at : here[-1] + 1], sizes[at : at + ROWS], crc)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
+            trim()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

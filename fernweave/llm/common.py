@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -116,6 +117,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def trim() -> None:
+    """Give the free memory of a Python worker, which serves later stages too, back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def lookup(rows: DataFrame, by: str, facts: DataFrame, size: Column, total: int) -> DataFrame:
     """Inner-join rows with facts (one row for each value of by), whatever the skew.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fernweave.llm.common import stored, table
+from fernweave.llm.common import stored, table, trim
 
 #: documents (in expectation, by hash of the id) that the scorer is fitted on; votes are counted over all
 FIT_DOCUMENTS = 20_000
@@ -212,6 +212,8 @@ def score(docs: DataFrame, model: Labellers, weight: np.ndarray) -> DataFrame:
             good = 1 - model.posterior(np.array(patterns, np.int64))
             made = 1 / (1 + np.exp(np.clip(np.array(scores, float), -60, 60)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(made)], ["row", "posterior", "score"])
+        shapes.clear()
+        trim()
 
     raw = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("data"))
     schema = StructType([StructField("row", docs.schema), StructField("posterior", DoubleType()), StructField("score", DoubleType())])

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, UPPER, fresh, lookup, release, stored, table, text_key
+from fernweave.llm.common import LOWER, UPPER, fresh, lookup, release, stored, table, text_key, trim
 from fernweave.llm.components import components, through
 
 SEED = 42
@@ -39,7 +39,7 @@ SMALL_GROUP = 8
 #: a group estimated to exceed CHUNK * 2 fingerprints (and a share of all) is cut into chunks
 CHUNK, SAMPLE, HOT_SHARE = 1024, 16, 500
 #: key rows compared at a time
-COMPARE_ROWS = 1 << 19
+COMPARE_ROWS = 1 << 17
 
 #: near copies: bits of word fingerprints, differing bits at most (for close links, for all)
 WIDE_BITS, WIDE_LIMITS = 92, (6, 16)
@@ -227,6 +227,8 @@ def _linked(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa
             yield from flush(False)
     if count:
         yield from flush(True)
+        held.clear()
+    trim()
 
 
 def links(points: DataFrame, bits: int, limits: tuple[int, ...]) -> DataFrame:
@@ -302,6 +304,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             kept.append(packer.compress(b" ".join(words)))
         values = (batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (vids, los, his)), *(pa.array(v, pa.binary()) for v in (counts, kept)))
         yield pa.RecordBatch.from_arrays(list(values), names)
+    trim()
 
 
 def _needed(sizes: np.ndarray | int, least: float) -> np.ndarray:
@@ -340,6 +343,8 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, least: float) -> It
         good = [similarity(sets.of(a, x), sets.of(b, y)) >= least for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
         kept = batch.filter(pa.array(good, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+    sets.clear()
+    trim()
 
 
 def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -441,26 +446,21 @@ def _copies(docs: DataFrame, width: int, least: float) -> DataFrame:
             half = stored(whole, "half") if name == "one" else whole.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
         return stored(half, label)
 
+    def decided(edges: DataFrame) -> DataFrame:
+        possible = paired(edges, "counts", partial(_possible, least=least), "possible")
+        return paired(possible, "words", partial(_verified, width=width, least=least), "similar")
+
     def similar(edges: DataFrame) -> DataFrame:
-        """Those of edges that hold, as far as they connect groups: one for each text first, then one for each two groups, then what is left between groups."""
-        left = edges.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
-        good = edges.limit(0)
-        for by in (["b"], ["ra", "rb"], None):
-            picked = left.select("a", "b") if by is None else left.groupBy(*by).agg(F.min(F.struct("a", "b")).alias("e")).select("e.a", "e.b")
-            picked = stored(picked, "picked")
-            if not picked.limit(1).count():
-                break
-            possible = paired(picked, "counts", partial(_possible, least=least), "possible")
-            good = good.unionByName(paired(possible, "words", partial(_verified, width=width, least=least), "similar"))
-            if by is None:
-                break
-            ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-            known = stored(ends.join(components(good).withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("p")), "pointers")
-            left = left.join(picked, ["a", "b"], "left_anti").select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
-            left = through(through(stored(left, "left"), "ra", known), "rb", known).filter("ra <> rb")
-            left = stored(left.select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")), "left")
-            release(docs.sparkSession)
-        return good
+        """Those of edges that hold, as far as they connect groups: one for each text first, then what is left between the groups that these make."""
+        picked = stored(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked")
+        good = decided(picked)
+        ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        known = stored(ends.join(components(good).withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("p")), "pointers")
+        left = edges.join(picked, ["a", "b"], "left_anti").select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        left = through(through(stored(left, "left"), "ra", known), "rb", known).filter("ra <> rb")
+        left = stored(left.select("a", "b"), "left")
+        release(docs.sparkSession)
+        return good.unionByName(decided(left))
 
     found = stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMITS), "found")
     release(docs.sparkSession)
@@ -468,7 +468,7 @@ def _copies(docs: DataFrame, width: int, least: float) -> DataFrame:
     labelled = sets.join(roots.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", F.coalesce("root", "vid").alias("label"), "words")
     met = stored(prefix_links(labelled, width, least), "met")
     release(docs.sparkSession)
-    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(similar(met)))
+    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(decided(met)))
     labels = texts.join(roots, texts["vid"] == roots["vertex"], "left").select("vid", "rep", F.coalesce("root", "vid").alias("root"))
     labels = stored(labels, "labels")
     named = labels.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("members"))

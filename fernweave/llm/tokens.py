@@ -26,7 +26,7 @@ from fernweave.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 #: pieces that each half of a worker's memo holds, and the length of the longest of them in bytes
-CACHE_PIECES, CACHE_LENGTH = 300_000, 32
+CACHE_PIECES, CACHE_LENGTH = 120_000, 32
 #: fixed values: a space becomes this character in byte-level vocabularies, and words end so
 WORD_END = "</w>"
 
