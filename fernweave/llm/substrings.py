@@ -19,7 +19,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,11 +180,10 @@ def _chosen(texts: list[bytes], wanted: np.ndarray) -> tuple[Fragments, np.ndarr
     found = found._replace(anchor=found.anchor.astype(np.uint32))
     keep = np.flatnonzero(np.isin(found.anchor, wanted))
     found = Fragments(*(c[keep] for c in found))
-    content = np.fromiter(
-        (xxhash.xxh3_64_intdigest(texts[o][a : a + n + LENGTH - 1]) for o, a, n in zip(found.owner.tolist(), found.first.tolist(), found.count.tolist(), strict=True)),
-        np.uint64, len(keep),
-    )
-    distinct = np.unique(content, return_inverse=True)[1] if len(keep) else keep
+    # equal bytes have one number, in order of their first place
+    numbers: dict[bytes, int] = {}
+    parts = (texts[o][a : a + n + LENGTH - 1] for o, a, n in zip(found.owner.tolist(), found.first.tolist(), found.count.tolist(), strict=True))
+    distinct = np.fromiter((numbers.setdefault(part, len(numbers)) for part in parts), np.int64, len(keep))
     return found, distinct
 
 
@@ -257,11 +255,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = count.astype(np.int64) + LENGTH - 1
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         raw = data.tobytes()
-        content = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)), np.uint64, len(starts))
-        order = np.lexsort((ids, content, anchor))
+        numbers: dict[bytes, int] = {}
+        string = np.fromiter((numbers.setdefault(raw[a : a + n], len(numbers)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)), np.int64, len(starts))
+        del numbers
+        order = np.lexsort((ids, string, anchor))
         new = np.ones(len(order), bool)
-        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
-        string = np.empty(len(order), np.int64)
+        new[1:] = string[order][1:] != string[order][:-1]
         string[order] = np.cumsum(new) - 1
         rep = order[new]  # the least id of each distinct string
         length = sizes[rep]
