@@ -181,9 +181,9 @@ def _chosen(texts: list[bytes], wanted: np.ndarray) -> tuple[Fragments, np.ndarr
     keep = np.flatnonzero(np.isin(found.anchor, wanted))
     found = Fragments(*(c[keep] for c in found))
     # equal bytes have one number, in order of their first place
-    numbers: dict[bytes, int] = {}
-    parts = (texts[o][a : a + n + LENGTH - 1] for o, a, n in zip(found.owner.tolist(), found.first.tolist(), found.count.tolist(), strict=True))
-    distinct = np.fromiter((numbers.setdefault(part, len(numbers)) for part in parts), np.int64, len(keep))
+    parts = [texts[o][a : a + n + LENGTH - 1] for o, a, n in zip(found.owner.tolist(), found.first.tolist(), found.count.tolist(), strict=True)]
+    numbers = dict(zip(dict.fromkeys(parts), range(len(parts))))
+    distinct = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(keep))
     return found, distinct
 
 
@@ -255,9 +255,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = count.astype(np.int64) + LENGTH - 1
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         raw = data.tobytes()
-        numbers: dict[bytes, int] = {}
-        string = np.fromiter((numbers.setdefault(raw[a : a + n], len(numbers)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)), np.int64, len(starts))
-        del numbers
+        parts = [raw[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        numbers = dict(zip(dict.fromkeys(parts), range(len(parts))))
+        string = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
+        del numbers, parts
         order = np.lexsort((ids, string, anchor))
         new = np.ones(len(order), bool)
         new[1:] = string[order][1:] != string[order][:-1]
