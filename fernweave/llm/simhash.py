@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.llm.common import LOWER, UPPER, fresh, lookup, release, stored, table, text_key, trim
-from fernweave.llm.components import components, through
+from fernweave.llm.components import components
 
 SEED = 42
 SEGMENT = 23
@@ -41,13 +41,13 @@ CHUNK, SAMPLE, HOT_SHARE = 1024, 16, 500
 #: key rows compared at a time
 COMPARE_ROWS = 1 << 17
 
-#: near copies: bits of word fingerprints, differing bits at most (for close links, for all)
-WIDE_BITS, WIDE_LIMITS = 92, (6, 16)
+#: near copies: bits of word fingerprints, differing bits at most
+WIDE_BITS, WIDE_LIMIT = 92, 16
 #: shingles of texts that a task remembers
 MEMO_SHINGLES = 1 << 21
 #: buckets that a text's shingles are counted in, up to 255 each
 BUCKETS = 128
-#: shingles that come last in prefixes: those of so many texts of a sample, so many at most
+#: keys and shingles that tell a text's weight, and shingles that come last in prefixes: those of so many texts of a sample, so many at most
 COMMON, MOST_COMMON = 3, 1 << 17
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -142,17 +142,43 @@ def segments(lo: np.ndarray, hi: np.ndarray, bits: int) -> list[np.ndarray]:
     return whole
 
 
+def _pair_keys(lo: np.ndarray, hi: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of segments, its keys and the position of the point that has each."""
+    keys = [segment_keys(s) for s in segments(lo.view(np.uint64), hi.view(np.uint64), bits)]
+    for number, (x, y) in enumerate(combinations(range(len(keys)), 2)):
+        both = (keys[x][:, :, None] << 12 | keys[y][:, None, :]).reshape(len(lo), 36)
+        good = ((keys[x] >= 0)[:, :, None] & (keys[y] >= 0)[:, None, :]).reshape(len(lo), 36)
+        row, slot = np.nonzero(good)
+        yield both[row, slot] | number << 24, row
+
+
 def _keyed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             vid, lo, hi = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            keys = [segment_keys(s) for s in segments(lo.view(np.uint64), hi.view(np.uint64), bits)]
-            for number, (x, y) in enumerate(combinations(range(len(keys)), 2)):
-                both = (keys[x][:, :, None] << 12 | keys[y][:, None, :]).reshape(len(vid), 36)
-                good = ((keys[x] >= 0)[:, :, None] & (keys[y] >= 0)[:, None, :]).reshape(len(vid), 36)
-                row, slot = np.nonzero(good)
-                yield pa.RecordBatch.from_arrays([pa.array(both[row, slot] | number << 24), *(pa.array(c[row]) for c in (vid, lo, hi))], ["key", "vid", "lo", "hi"])
+            for key, row in _pair_keys(lo, hi, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[row]) for c in (vid, lo, hi))], ["key", "vid", "lo", "hi"])
+
+
+def _times(keys: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """How often each of keys came in the sample, 0 if it is not among the common ones, which are sorted."""
+    if not len(common):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(common, keys).clip(max=len(common) - 1)
+    return np.where(common[at] == keys, often[at], 0)
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], bits: int, common: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of _keyed with the point's weight: how often all its keys came in the sample."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            vid, lo, hi = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            made = list(_pair_keys(lo, hi, bits))
+            weight = sum(np.bincount(row, _times(key, common, often), len(vid)) for key, row in made).astype(np.int64)
+            for key, row in made:
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[row]) for c in (vid, lo, hi, weight))], ["key", "vid", "lo", "hi", "weight"])
 
 
 # --- links ------------------------------------------------------------------------------------
@@ -205,23 +231,50 @@ def _compare(group: np.ndarray, vid: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (vid[:0], vid[:0])
 
 
+def _stars(group: np.ndarray, vid: np.ndarray, weight: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) from the heaviest row of each run of equal group to the rows near it, and so on with the rows left: fewer than rows."""
+    hubs, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    same = group[1:] == group[:-1]
+    open_ = np.flatnonzero(np.r_[same, False][: len(group)] | np.r_[False, same][: len(group)])
+    open_ = open_[np.lexsort((vid[open_], -weight[open_], group[open_]))]
+    while len(open_):
+        of = group[open_]
+        first = np.r_[True, of[1:] != of[:-1]]
+        hub, row = open_[np.flatnonzero(first)[np.cumsum(first) - 1]][~first], open_[~first]
+        good = near(hub, row)
+        hubs.append(hub[good])
+        rows.append(row[good])
+        open_ = row[~good]
+    return np.concatenate(hubs), np.concatenate(rows)
+
+
+def _close(group: np.ndarray, vid: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+    """Stars within runs of equal group of points that differ in limit bits or fewer, and the hubs' weights."""
+    hub, row = _stars(group, vid, weight, lambda x, y: _far(lo[x], hi[x], lo[y], hi[y]) <= limit)
+    return vid[hub], vid[row], weight[hub]
+
+
 def _linked(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tile, vid, lo, hi) come sorted by key and tile; the last group waits for the next batch."""
+    """Rows (key, tile, vid, lo, hi and what else compare takes) come sorted by key and tile; the last group waits for the next batch.
+
+    Pairs are given once with the lesser end first, or, if compare gives the weights of their first ends too, as they are with these.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, count
-        key, tile, vid, lo, hi = (np.concatenate(c) for c in zip(*held, strict=True))
+        key, tile, vid, lo, hi, *more = (np.concatenate(c) for c in zip(*held, strict=True))
         new = np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
         upto = len(key) if last else int(np.flatnonzero(new)[-1])
-        a, b = compare(np.cumsum(new)[:upto], vid[:upto], lo[:upto].view(np.uint64), hi[:upto].view(np.uint64))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        held, count = [tuple(c[upto:] for c in (key, tile, vid, lo, hi))], len(key) - upto
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        a, b, *weight = compare(np.cumsum(new)[:upto], vid[:upto], lo[:upto].view(np.uint64), hi[:upto].view(np.uint64), *(c[:upto] for c in more))
+        ends = [a, b, *weight] if weight else [np.minimum(a, b), np.maximum(a, b)]
+        pairs = np.unique(np.stack(ends, 1)[a != b], axis=0)
+        held, count = [tuple(c[upto:] for c in (key, tile, vid, lo, hi, *more))], len(key) - upto
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(len(ends))], ["a", "b", "weight"][: len(ends)])
 
     for batch in batches:
-        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)))
+        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)))
         count += batch.num_rows
         if count >= COMPARE_ROWS:
             yield from flush(False)
@@ -257,6 +310,46 @@ def _met(points: DataFrame, keyed: Callable, compare: Callable) -> DataFrame:
     return rows.mapInArrow(partial(_linked, compare=compare), "a long, b long").distinct()
 
 
+def _starred(points: DataFrame, keyed: Callable, compare: Callable, schema: str) -> DataFrame:
+    """What compare finds within each key of the rows (key, vid, lo, hi, weight) that keyed makes of points.
+
+    A busy key's rows are dealt to chunks once, not to tiles of every two, so rows do not grow with the square of a
+    key's; the heaviest row of its sample goes to every chunk, so that a group's chunks have a hub in common.
+    """
+    made = "key long, vid long, lo long, hi long, weight long"
+    hot = F.greatest(F.lit(2 * CHUNK), F.lit(points.count() / HOT_SHARE))
+    sample = points.filter(F.pmod(F.xxhash64("vid"), F.lit(SAMPLE)) == 0).mapInArrow(keyed, made)
+    counted = sample.groupBy("key").agg((F.count("*") * SAMPLE).alias("n"), F.max(F.struct("weight", "vid")).alias("top")).filter(F.col("n") >= hot)
+    busy = stored(counted.select(F.col("key").alias("__key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.col("top.vid").alias("hub")), "busy")
+    rows = points.mapInArrow(keyed, made).join(F.broadcast(busy), F.col("key") == F.col("__key"), "left")
+    own = F.array(F.pmod(F.xxhash64("vid", "key"), F.col("chunks")).cast("int"))
+    tiles = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("vid") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)
+    rows = rows.select("key", F.explode(tiles).alias("tile"), "vid", "lo", "hi", "weight")
+    rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "vid")
+    return rows.mapInArrow(partial(_linked, compare=compare), schema)
+
+
+def _common(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent of sample's keys, sorted as unsigned numbers, and how often each came."""
+    counted = sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
+    common, often = counted.column("key").to_numpy().view(np.uint64), counted.column("n").to_numpy()
+    order = np.argsort(common)
+    return common[order], often[order]
+
+
+def hub_links(points: DataFrame, bits: int, limit: int) -> DataFrame:
+    """Of each point (vid, lo, hi) that shares a key with heavier ones of limit or fewer differing bits, the link (a, b) to the heaviest.
+
+    A point's weight is how often its keys came in a sample: that of a group's middle is greatest, so most of a group
+    has one hub, whatever the keys. There are fewer links than points.
+    """
+    sample = points.filter(F.pmod(F.xxhash64("vid"), F.lit(SAMPLE)) == 0).mapInArrow(partial(_keyed, bits=bits), "key long, vid long, lo long, hi long")
+    common, often = _common(sample.select("key"))
+    keyed = partial(_weighed, bits=bits, common=common.view(np.int64), often=often)
+    stars = _starred(points, keyed, partial(_close, limit=limit), "a long, b long, weight long")
+    return stars.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("to")).select(F.col("to.a").alias("a"), "b")
+
+
 def near_groups(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
     """doc_id, fp and component_id of each row of docs (doc_id, text; other columns are ignored).
 
@@ -365,8 +458,11 @@ def _all_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(unpack.decompress(value.as_py()), width)).view(np.int64))], ["key"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, common: np.ndarray, often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, vid, label, size and place) for the first shingles of each text: rare ones first, then by hash."""
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, common: np.ndarray, often: np.ndarray, least: float, weights: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, vid, label, size and place, and if asked for weight) for the first shingles of each text: rare ones first, then by hash.
+
+    A text's weight is how often these came in the sample.
+    """
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         found: list[tuple[np.ndarray, ...]] = []
@@ -374,23 +470,27 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, common: np.ndarray,
             shingles = np.unique(shingle_hashes(unpack.decompress(value), width))
             if not len(shingles):
                 continue
-            times = np.zeros(len(shingles), np.int64)
-            if len(common):
-                at = np.searchsorted(common, shingles).clip(max=len(common) - 1)
-                times = np.where(common[at] == shingles, often[at], 0)
+            times = _times(shingles, common, often)
             size = len(shingles)
             upto = size - int(np.ceil(least * size - 1e-6)) + 1
-            keys = shingles[np.argsort(times, kind="stable")[:upto]].view(np.int64)
-            found.append((keys, np.full(len(keys), vid), np.full(len(keys), label), size << 32 | np.arange(len(keys))))
+            first = np.argsort(times, kind="stable")[:upto]
+            keys = shingles[first].view(np.int64)
+            found.append((keys, *(np.full(len(keys), v) for v in (vid, label)), size << 32 | np.arange(len(keys)), np.full(len(keys), times[first].sum())))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "vid", "lo", "hi"])
+            values = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays(values if weights else values[:4], ["key", "vid", "lo", "hi", "weight"][: 5 if weights else 4])
+
+
+def _placed(placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of texts, and how many of their shingles come from a place on."""
+    size = (placed >> np.uint64(32)).astype(np.int64)
+    return size, size - (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _meeting(group: np.ndarray, vid: np.ndarray, label: np.ndarray, placed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of unlike labels within runs of equal group that can be similar if the run's shingle is their first common one."""
     left, right = [], []
-    size = (placed >> np.uint64(32)).astype(np.int64)
-    rest = size - (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    size, rest = _placed(placed)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
 
@@ -406,22 +506,39 @@ def _meeting(group: np.ndarray, vid: np.ndarray, label: np.ndarray, placed: np.n
             break
         take(at[pos], at[pos + step])
     for k in np.flatnonzero(sizes > SMALL_GROUP):
+        if (label[starts[k] : starts[k] + sizes[k]] == label[starts[k]]).all():
+            continue
         for x in range(starts[k], starts[k] + sizes[k] - 1):
             take(x, np.arange(x + 1, starts[k] + sizes[k]))
     return (np.concatenate(left), np.concatenate(right)) if left else (vid[:0], vid[:0])
 
 
-def prefix_links(sets: DataFrame, width: int, least: float) -> DataFrame:
+def _meeting_stars(group: np.ndarray, vid: np.ndarray, label: np.ndarray, placed: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """As _meeting, but of each run only the pairs of its heaviest texts."""
+    size, rest = _placed(placed)
+    hub, row = _stars(group, vid, weight, lambda x, y: np.minimum(rest[x], rest[y]) >= _needed(size[x] + size[y], least))
+    unlike = label[hub] != label[row]
+    return vid[hub[unlike]], vid[row[unlike]]
+
+
+def common_shingles(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample of sets (vid, words) have, and how often each came."""
+    sample = sets.filter(F.pmod(F.xxhash64("vid"), F.lit(SAMPLE)) == 0).select("words")
+    return _common(sample.mapInArrow(partial(_all_shingles, width=width), "key long"))
+
+
+def prefix_links(sets: DataFrame, width: int, least: float, common: np.ndarray, often: np.ndarray, stars: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of sets (vid, label, words) with unlike labels: all of similarity least or more, and others.
 
     Whatever the order of shingles, the first one that two such sets share lies among the first 1 - least of
     either. The order is by frequency in a sample, so that few unlike texts meet; only cost hangs on it.
+    With stars, only pairs with the heaviest texts that share a shingle: fewer than rows, and most of what connects large groups.
     """
-    sample = sets.filter(F.pmod(F.xxhash64("vid"), F.lit(SAMPLE)) == 0).select("words").mapInArrow(partial(_all_shingles, width=width), "key long")
-    counted = sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
-    common, often = counted.column("key").to_numpy().view(np.uint64), counted.column("n").to_numpy()
-    order = np.argsort(common)
-    return _met(sets.select("vid", "label", "words"), partial(_prefixes, width=width, common=common[order], often=often[order], least=least), partial(_meeting, least=least))
+    points = sets.select("vid", "label", "words")
+    keyed = partial(_prefixes, width=width, common=common, often=often, least=least, weights=stars)
+    if stars:
+        return _starred(points, keyed, partial(_meeting_stars, least=least), "a long, b long").distinct()
+    return _met(points, keyed, partial(_meeting, least=least))
 
 
 def _copies(docs: DataFrame, width: int, least: float) -> DataFrame:
@@ -450,25 +567,18 @@ def _copies(docs: DataFrame, width: int, least: float) -> DataFrame:
         possible = paired(edges, "counts", partial(_possible, least=least), "possible")
         return paired(possible, "words", partial(_verified, width=width, least=least), "similar")
 
-    def similar(edges: DataFrame) -> DataFrame:
-        """Those of edges that hold, as far as they connect groups: one for each text first, then what is left between the groups that these make."""
-        picked = stored(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked")
-        good = decided(picked)
-        ends = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        known = stored(ends.join(components(good).withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("p")), "pointers")
-        left = edges.join(picked, ["a", "b"], "left_anti").select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
-        left = through(through(stored(left, "left"), "ra", known), "rb", known).filter("ra <> rb")
-        left = stored(left.select("a", "b"), "left")
-        release(docs.sparkSession)
-        return good.unionByName(decided(left))
+    def labelled(roots: DataFrame) -> DataFrame:
+        return sets.join(roots.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", F.coalesce("root", "vid").alias("label"), "words")
 
-    found = stored(links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMITS), "found")
+    # candidates number fewer than key rows until groups are known; all pairs are made only between these
+    found = stored(hub_links(texts.select("vid", "lo", "hi"), WIDE_BITS, WIDE_LIMIT), "found")
     release(docs.sparkSession)
-    roots = components(similar(found))
-    labelled = sets.join(roots.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", F.coalesce("root", "vid").alias("label"), "words")
-    met = stored(prefix_links(labelled, width, least), "met")
-    release(docs.sparkSession)
-    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(decided(met)))
+    roots = components(decided(found))
+    common, often = common_shingles(sets, width)
+    for stars in (True, False):
+        met = stored(prefix_links(labelled(roots), width, least, common, often, stars), "met")
+        release(docs.sparkSession)
+        roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(decided(met)))
     labels = texts.join(roots, texts["vid"] == roots["vertex"], "left").select("vid", "rep", F.coalesce("root", "vid").alias("root"))
     labels = stored(labels, "labels")
     named = labels.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
@@ -482,8 +592,8 @@ def copy_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
     Texts whose sets of width-word shingles have a Jaccard similarity of least or more share a group, as do
     those that such pairs connect. Every pair is decided on the whole sets, of very long texts too. Candidates are close word
-    fingerprints first, which gather most copies; then all pairs from different groups of those that
-    share one of their first shingles, so no pair is lost. Equal word sequences are always grouped, blank and null texts too.
+    fingerprints first, each with its heaviest neighbour, then texts with the heaviest that share one of their first shingles: these
+    two steps gather most copies in few links. Then come all pairs from different groups that share one, so no pair is lost. Equal word sequences are always grouped, blank and null texts too.
     A null id comes after all others; a group of null ids only has null. An empty table gives no rows.
     """
     return _copies(docs, width, least).select("doc_id", F.col("first.doc_id").alias("group"))

@@ -59,3 +59,31 @@ def test_long_texts_are_decided_on_whole_sets(spark):
         share = (0.785, 0.795, 0.803, 0.812)[k % 4]
         texts += [" ".join(base), " ".join(base + words(rng, int((len(base) - 4) * (1 / share - 1))))]
     assert 25 <= check(spark, texts) <= 35
+
+
+def test_candidates_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Copies that are similar to one text only, alone and with other pages: few candidates a text, whether its keys are cut into chunks or not."""
+    rng = random.Random(4)
+    base = words(rng, 130)
+    texts = [" ".join(base)]
+    while len(texts) < 400:
+        copy = base.copy()
+        for at in rng.sample(range(130), 2):
+            copy[at] = f"w{rng.randrange(50_000)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(words(rng, 100)) for _ in range(40)]
+    made, whole = [], simhash.stored
+
+    def counted(df, label, keep=False):
+        kept = whole(df, label, keep)
+        if label in ("found", "met"):
+            made.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    for chunk, sample in ((simhash.CHUNK, simhash.SAMPLE), (16, 1)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        made.clear()
+        assert check(spark, texts) >= 399
+        assert sum(made) < 10 * len(texts), made
