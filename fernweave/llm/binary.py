@@ -20,19 +20,21 @@ from pyspark.sql.window import Window
 
 from fernweave.llm import rangecoder
 from fernweave.llm.common import batches_of, shared_dir, size_of, table, trim
-from fernweave.llm.tokens import TOKENIZER, pieces, vocabulary_path
+from fernweave.llm.tokens import CACHE_PIECES, TOKENIZER, pieces, vocabulary_path
 
 END_ID = 1
 #: ids of a frame at most (but for a longer document), and bytes of input that a task gets about
 FRAME_IDS, TASK_BYTES = rangecoder.BLOCK, 16 << 20
+#: pieces that each half of a worker's memo holds where no other step shares the worker
+MEMO_PIECES = 500_000
 #: decoded documents handed on at a time
 ROWS = 4096
 
 SCHEMA = "part int, frame int, n_ids long, doc_ids array<long>, sizes array<long>, payload binary"
 
 
-def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    memo, number, count = pieces(tokenizer), 0, 0
+def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, memo_pieces: int) -> Iterator[pa.RecordBatch]:
+    memo, number, count = pieces(tokenizer, memo_pieces), 0, 0
     end = np.array([end_id], "<u4").tobytes()
     doc_ids: list[int | None] = []
     sizes: list[int] = []
@@ -67,13 +69,13 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
         yield frame(part)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, memo_pieces: int = CACHE_PIECES) -> None:
     """Write the ids of docs (doc_id, text; other columns are ignored) to path.
 
     A null text counts as empty and is written as its end id alone. Null ids come first; rows
     that share an id are written one after another in order of their texts, so reruns agree. A very long text makes its
     frame longer, in blocks as long as others. An empty table gives an empty dataset. No special tokens are added; special
-    strings in texts are theirs.
+    strings in texts are theirs. A worker remembers the ids of up to twice memo_pieces pieces of text, which bounds its memory.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
     size = size_of(docs)
@@ -81,7 +83,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
     ordered = raw.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("data").asc_nulls_first())
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "data")
     with batches_of(docs.sparkSession, 1000):
-        ordered.mapInArrow(lambda it: _frames(it, tokenizer, end_id), SCHEMA).write.parquet(path)
+        ordered.mapInArrow(lambda it: _frames(it, tokenizer, end_id, memo_pieces), SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +131,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).select("doc_ids", "sizes", "payload").mapInArrow(_ids, "doc_id long, ids array<int>")
 
 
-def written_and_read(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def written_and_read(docs: DataFrame, tokenizer: str, end_id: int = END_ID, memo_pieces: int = CACHE_PIECES) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    write_ids(docs, path, tokenizer, end_id)
+    write_ids(docs, path, tokenizer, end_id, memo_pieces)
     return read_documents(spark, path)
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written_and_read(table(spark, sf_dir, "documents"), vocabulary_path(TOKENIZER))
+    return written_and_read(table(spark, sf_dir, "documents"), vocabulary_path(TOKENIZER), memo_pieces=MEMO_PIECES)

@@ -25,7 +25,7 @@ from fernweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: pieces that each half of a worker's memo holds, and the length of the longest of them in bytes
+#: pieces that each half of a worker's memo holds unless told otherwise, and the length of the longest of them in bytes
 CACHE_PIECES, CACHE_LENGTH = 120_000, 32
 #: fixed values: a space becomes this character in byte-level vocabularies, and words end so
 WORD_END = "</w>"
@@ -85,12 +85,14 @@ def is_plain(data: bytes) -> bool:
 class Pieces(dict):
     """Bounded memo from a piece of text to its token ids as little-endian unsigned 32-bit integers.
 
-    Pre-tokens that are proven whole tokens need no merging, only others go through the library's merges. The memo
-    lives as long as the Python worker; when it is full, it becomes the older half, whose entries come back when they are asked for.
+    Pre-tokens that are proven whole tokens need no merging, only others go through the library's merges; a word is
+    remembered without the marks around it too. The memo lives as long as the Python worker; when it holds limit entries, it
+    becomes the older half, whose entries come back when they are asked for.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = CACHE_PIECES) -> None:
         super().__init__()
+        self.limit = limit
         self.tokenizer = load(path)
         self.merges = self.tokenizer.model.tokenize
         self.shown = {b: c for c, b in byte_alphabet().items()}
@@ -102,7 +104,7 @@ class Pieces(dict):
         if made is None:
             made = self._cut(piece)
         if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[piece] = made
@@ -112,7 +114,8 @@ class Pieces(dict):
         if piece.isalpha():
             return self._pretoken(piece.decode().lower())
         if is_plain(piece):
-            return b"".join(map(self._pretoken, _PRETOKEN.findall(piece.decode().lower())))
+            parts = _PRETOKEN.findall(piece.decode().lower())
+            return self._pretoken(parts[0]) if len(parts) == 1 else b"".join([self[part.encode()] for part in parts])
         return _packed(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def _pretoken(self, part: str) -> bytes:
@@ -133,8 +136,8 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @cache
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(path: str, limit: int = CACHE_PIECES) -> Pieces:
+    return Pieces(path, limit)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:

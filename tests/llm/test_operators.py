@@ -320,6 +320,19 @@ def test_pretokens_as_in_the_library():
         assert list(np.frombuffer(memo.ids(text.encode()), "<u4")) == expected_ids(text), repr(text)
 
 
+def test_words_are_merged_once(monkeypatch):
+    memo, merged = tokens.Pieces(PATH, 50), []
+    merges = memo.merges
+    monkeypatch.setattr(memo, "merges", lambda word: merged.append(word) or merges(word))
+    text = "ndereshtha ndereshtha. (ndereshtha), Ndereshtha's \"ndereshtha?\" éanatth éanatth; 7éanatth"
+    assert list(np.frombuffer(memo.ids(text.encode()), "<u4")) == expected_ids(text)
+    assert Counter(merged)["ndereshtha"] == 1 and len([w for w in merged if w.endswith("anatth")]) == 1
+    for k in range(400):
+        text = f"({'abcdefghij'[k % 10]}zqx{'klmnopqrst'[k // 10 % 10]}v), {'uvwxyz'[k % 6]}qj{k}!"
+        assert list(np.frombuffer(memo.ids(text.encode()), "<u4")) == expected_ids(text)
+        assert len(memo) <= 50 and len(memo.older) <= 50
+
+
 def test_proven_tokens_encode_alone():
     known = tokens.proven(PATH)
     assert len(known) > 30_000
