@@ -96,8 +96,8 @@ def next_state(attempts: Column, error_kind: Column) -> Column:
 
 
 def scatter_offset(interval: int, position: Column, total: Column) -> Column:
-    """Whole-number division."""
-    return F.floor(F.lit(interval) * position / F.greatest(total, F.lit(1))).cast("long")
+    """Whole-number division of longs: the product passes 2**31 at 50,000 positions of half a day."""
+    return F.call_function("div", F.lit(interval).cast("long") * position, F.greatest(total, F.lit(1))).cast("long")
 
 
 def is_retryable(status: Column) -> Column:
