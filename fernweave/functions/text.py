@@ -16,6 +16,7 @@ RETRY_DELAYS = (300, 1800, 7200, 21600, 86400)
 RETRYABLE = (429, 500, 502, 503, 504)
 HIGH, MID = 0.65, 0.50
 TERM = r"[\p{L}\p{N}]+"
+NO_TERM = r"[^\p{L}\p{N}]+"
 
 
 def terms(text: Column) -> Column:

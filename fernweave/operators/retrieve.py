@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.functions.text import terms
+from fernweave.functions.text import NO_TERM, terms
 from fernweave.operators.filters import SearchFilter, compiled
 
 K1, B = 1.2, 0.75
@@ -76,28 +76,110 @@ def lexical_index(chunks: DataFrame) -> LexicalIndex:
 
 def _with_statistics(postings: DataFrame, stats: DataFrame) -> LexicalIndex:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(postings, stats, df, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return LexicalIndex(postings, stats, df, _corpus(stats))
+
+
+def _corpus(stats: DataFrame) -> DataFrame:
+    return stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+#: bytes of text whose postings are gathered in blocks together, and rows of a batch that are looked at at once
+BLOCK_BYTES, SLICE = 16 << 20, 256
+#: bytes of blocks for each file of postings, about
+FILE_BYTES = 32 << 20
+BLOCKS = "term string, chunk_ids array<long>, page_ids array<long>, counts array<int>, repeated boolean"
+
+
+def _block_rows(chunk_ids: pa.Array, page_ids: pa.Array, texts: pa.Array, repeated: bool) -> pa.RecordBatch:
+    """One row for each term of the texts, whose words have a blank between them, and a row of their lengths."""
+    lists = pc.split_pattern(texts, " ")
+    owner, words = pc.list_parent_indices(lists), lists.flatten()
+    real = pc.not_equal(words, "")
+    owner, coded = owner.filter(real).to_numpy(zero_copy_only=False), words.filter(real).dictionary_encode()
+    rows = len(texts)
+    pairs, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * rows + owner, return_counts=True)
+    codes, at = np.unique(pairs // max(rows, 1), return_index=True)
+    lengths = pa.array(np.bincount(owner, minlength=rows), pa.int32(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+    ends = pa.array(np.concatenate([at, [len(pairs), len(pairs) + rows]]), pa.int32())
+    ids = pa.concat_arrays([chunk_ids.take(pa.array(pairs % max(rows, 1))), chunk_ids])
+    counts = pa.concat_arrays([pa.array(tf, pa.int32()), lengths])
+    columns = [
+        pa.concat_arrays([coded.dictionary.take(pa.array(codes)), pa.nulls(1, pa.string())]), pa.ListArray.from_arrays(ends, ids),
+        pa.ListArray.from_arrays(pa.array([0] * (len(codes) + 1) + [rows], pa.int32()), page_ids), pa.ListArray.from_arrays(ends, counts), pa.array([repeated] * (len(codes) + 1)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in BLOCKS.split(", ")])
+
+
+def _blocks(chunks: DataFrame) -> DataFrame:
+    """chunks(chunk_id, page_id, content, repeated) as blocks, one for each term of some thousand chunks: their ids and frequencies.
+
+    Texts are cut into words once and counted within their rows. A block without a term has the lengths of chunks, null where
+    the content is.
+    """
+
+    def flushed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        for repeated in (False, True):
+            found = table.filter(pc.equal(table.column(3), repeated)).combine_chunks()
+            if found.num_rows:
+                yield _block_rows(*(c.chunk(0) for c in found.columns[:3]), repeated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                parts.append(part)
+                size += pc.sum(pc.binary_length(part.column(2))).as_py() or 0
+                if size >= BLOCK_BYTES:
+                    yield from flushed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from flushed(parts)
+
+    words = F.trim(F.regexp_replace(F.lower("content"), NO_TERM, " "))
+    return chunks.select(F.col("chunk_id").cast("long"), F.col("page_id").cast("long"), words.alias("words"), "repeated").mapInArrow(run, BLOCKS)
+
+
+def _postings(blocks: DataFrame) -> DataFrame:
+    """Rows term, chunk_id, tf of blocks(term, chunk_ids, counts)."""
+    each = blocks.select("term", F.explode(F.arrays_zip("chunk_ids", "counts")).alias("one"))
+    return each.select("term", F.col("one.chunk_ids").alias("chunk_id"), F.col("one.counts").alias("tf"))
 
 
 def write_index(chunks: DataFrame, path: str, partitions: int = 64) -> None:
     """Write the index of chunks(chunk_id, page_id, content), cutting the texts into words once.
 
-    Postings are clustered and sorted by term, so a query reads the row groups of its terms only; the statistics come from them.
+    Postings are blocks, clustered and sorted by term, so a query reads the row groups of its terms only; they have as many partitions as
+    their bytes need, at least those given. An id of several rows has one posting for each term and the length of each row.
     """
     spark = chunks.sparkSession
-    postings = lexical_index(chunks).postings
-    postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("dl"))
-    stats = chunks.select("chunk_id", "page_id").join(lengths, "chunk_id", "left").select("chunk_id", "page_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    twice = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id", F.lit(True).alias("repeated"))
+    known = not twice.isEmpty()
+    marked = chunks.join(twice, "chunk_id", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))) if known else chunks.withColumn("repeated", F.lit(False))
+    _blocks(marked).write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    of_terms = blocks.filter("term IS NOT NULL").select("term", "chunk_ids", "counts", "repeated")
+    postings = of_terms.filter("NOT repeated").drop("repeated")
+    if known:
+        summed = _postings(of_terms.filter("repeated")).groupBy("term", "chunk_id").agg(F.sum("tf").cast("int").alias("tf"))
+        postings = postings.unionByName(summed.select("term", F.array("chunk_id").alias("chunk_ids"), F.array("tf").alias("counts")))
+    size = int(str(blocks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = max(partitions, -(-size // FILE_BYTES))
+    postings.repartitionByRange(partitions, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths = blocks.filter("term IS NULL").select(F.explode(F.arrays_zip("chunk_ids", "page_ids", "counts")).alias("one"))
+    stats = lengths.select(F.col("one.chunk_ids").alias("chunk_id"), F.col("one.page_ids").alias("page_id"), F.col("one.counts").alias("dl"))
     stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
-    made = _with_statistics(postings, spark.read.parquet(f"{path}/chunk_stats"))
-    made.term_stats.repartitionByRange(max(1, partitions // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-    made.corpus.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("chunk_ids")).alias("df"))
+    df.repartitionByRange(max(1, partitions // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+    _corpus(spark.read.parquet(f"{path}/chunk_stats")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/blocks")
+    made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(made, True)
 
 
 def read_index(spark, path: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "chunk_stats", "term_stats", "corpus")))
+    postings, *statistics = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "chunk_stats", "term_stats", "corpus"))
+    return LexicalIndex(_postings(postings), *statistics)
 
 
 def bm25_top_k(index: LexicalIndex, query_terms: list[str], k: int, pages: DataFrame | None = None, filters: tuple[SearchFilter, ...] = (), decimals: int | None = None) -> DataFrame:

@@ -1,8 +1,11 @@
 """Steps that must hold on larger tables than the test tables."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from fernweave.operators import schedule
+from fernweave.operators import retrieve, schedule
 
 
 def test_scatter_of_many_sites(spark):
@@ -10,3 +13,26 @@ def test_scatter_of_many_sites(spark):
     sites = spark.range(n).select("id", F.lit(None).cast("timestamp").alias("next_poll_at"))
     placed = schedule.scatter(sites, F.lit("2024-01-15 00:00:00").cast("timestamp"), interval).select("id", F.unix_timestamp("next_poll_at").alias("at")).toPandas()
     assert placed.sort_values("id")["at"].tolist() == [1705276800 + interval * k // n for k in range(n)]
+
+
+def test_index_has_blocks_and_counts_ids_that_repeat(spark, tmp_path, monkeypatch):
+    """Few rows, each over several terms; a small block makes a term meet in several; files grow with the bytes."""
+    monkeypatch.setattr(retrieve, "FILE_BYTES", 256)
+    rows = [(k, k // 3, "The " * (k % 3 + 1) + f"Rose w{k % 7}; É{k}!") for k in range(200)]
+    rows += [(5, 1, "the the other"), (900, 300, None), (901, 300, ""), (902, 300, " .,; ")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, page_id long, content string")
+    retrieve.write_index(chunks, str(tmp_path / "index"), 2)
+    made = retrieve.read_index(spark, str(tmp_path / "index"))
+    counts, lengths = Counter(), Counter()
+    for chunk_id, page_id, text in rows:
+        words = None if text is None else re.findall(r"\w+", text.lower())
+        counts.update((w, chunk_id) for w in words or ())
+        lengths[chunk_id, page_id, words if words is None else len(words)] += 1
+    assert {(r.term, r.chunk_id): r.tf for r in made.postings.collect()} == counts and made.postings.count() == len(counts)
+    assert Counter((r.chunk_id, r.page_id, r.dl) for r in made.chunk_stats.collect()) == lengths
+    assert {r.term: r.df for r in made.term_stats.collect()} == Counter(w for w, _ in counts)
+    told = [n for _, _, n in lengths.elements() if n is not None]
+    assert made.corpus.collect() == [(len(rows), sum(told) / len(told))]
+    assert len(list((tmp_path / "index" / "postings").glob("part-*"))) > 4 and not (tmp_path / "index" / "blocks").exists()
+    stored = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert stored.count() < made.postings.count()
