@@ -25,12 +25,16 @@ def csv_feed_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_feed_list(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (origin, feed_url, errors, fetched) of a JSON array; counts that are no whole numbers from 0 on are 0."""
-    schema = "url string, home string, errors string, fetched string"
+    """Rows (origin, feed_url, errors, fetched) of a JSON array; counts that are no whole numbers from 0 on are 0.
+
+    Counts are variants: for a string that is none in the file, the reader would seek and read a buffer of the file anew.
+    """
+    schema = "url string, home string, errors variant, fetched variant"
     raw = spark.read.json(path, schema=schema, multiLine=True)
 
     def count(name: str):
-        return F.when(F.col(name).rlike(r"^\d{1,18}$"), F.col(name).cast("long")).otherwise(0)
+        told = F.try_variant_get(F.col(name), "$", "string")
+        return F.when(F.schema_of_variant(name).isin("BIGINT", "STRING") & told.rlike(r"^\d{1,18}$"), told.cast("long")).otherwise(0)
 
     rows = raw.select(origin(F.coalesce("home", "url")).alias("origin"), normalized("url").alias("feed_url"), count("errors").alias("errors"), count("fetched").alias("fetched"))
     return rows.filter("origin IS NOT NULL AND feed_url IS NOT NULL")

@@ -1,11 +1,28 @@
 """Steps that must hold on larger tables than the test tables."""
 
+import json
 import re
+import secrets
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fernweave.operators import retrieve, schedule
+from fernweave.operators import chunk, retrieve, schedule
+from fernweave.sources import feeds, html, tables
+
+
+class _Caught:
+    """Stands for a DataFrame: gives the function that would run over its Arrow batches."""
+
+    def select(self, *columns):
+        return self
+
+    def repartition(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
 
 
 def test_scatter_of_many_sites(spark):
@@ -36,3 +53,17 @@ def test_index_has_blocks_and_counts_ids_that_repeat(spark, tmp_path, monkeypatc
     assert len(list((tmp_path / "index" / "postings").glob("part-*"))) > 4 and not (tmp_path / "index" / "blocks").exists()
     stored = spark.read.parquet(str(tmp_path / "index" / "postings"))
     assert stored.count() < made.postings.count()
+
+
+def _bytes_read(spark) -> int:
+    return sum(s.getBytesRead() for s in spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_json_list_reads_its_file_once(spark, tmp_path):
+    rows = [{"url": f"https://a{n}.example/f", "home": None, "errors": n % 5 - 1, "fetched": str(n)} for n in range(4000)]
+    odd = [{"url": "https://b.example/f", "errors": e, "fetched": f} for e, f in ((1.5, 1e2), (1.0, True), ("x", None), ({"a": 1}, [1]), (10**18 - 1, 10**18))]
+    (tmp_path / "list.json").write_text(json.dumps(rows + odd))
+    before = _bytes_read(spark)
+    found = tables.json_feed_list(spark, str(tmp_path / "list.json")).select("errors", "fetched").collect()
+    assert _bytes_read(spark) - before < 10 * (tmp_path / "list.json").stat().st_size
+    assert Counter(map(tuple, found)) == Counter([(max(0, n % 5 - 1), n) for n in range(4000)] + [(0, 0)] * 4 + [(10**18 - 1, 0)])
