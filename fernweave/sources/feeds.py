@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernweave.config import FeedError, SitemapError
 from fernweave.functions.url import canonicalize_url, same_site, try_normalize_url
+from fernweave.sources.batches import gathered, rows_of
 
 ATOM, RSS1, DC, FH = "http://www.w3.org/2005/Atom", "http://purl.org/rss/1.0/", "http://purl.org/dc/elements/1.1/", "http://purl.org/syndication/history/1.0"
 #: fixed values
@@ -149,43 +150,48 @@ def fully_disallows(text: str, agent: str) -> bool:
 # --- sources ------------------------------------------------------------------------------------
 
 
+def _dealt(fetched: DataFrame) -> DataFrame:
+    """Documents over all cores: they take far longer to parse than to read, and few files of small rows make few tasks."""
+    return fetched.repartition("url")
+
+
 def feed_entries(fetched: DataFrame) -> DataFrame:
     """fetched(url, body, content_type) to one row for each post: feed_url, pos, url, home, history, wordpress, complete, error.
 
     A feed that can't be read gives one row with its error and no url.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def entries(url: str, body: bytes | None, kind: str | None) -> list[tuple]:
+        try:
+            feed = parse_feed(bytes(body or b""), url, kind or "")
+            return [(url, n, u, feed.home, feed.history, feed.wordpress, feed.complete, None) for n, u in enumerate(feed.urls)]
+        except FeedError as e:
+            return [(url, None, None, None, None, None, None, str(e))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["feed_url", "pos", "url", "home", "history", "wordpress", "complete", "error"]
-        for batch in batches:
-            rows = []
-            for url, body, kind in batch.itertuples(index=False):
-                try:
-                    feed = parse_feed(bytes(body or b""), url, kind or "")
-                    rows += [(url, n, u, feed.home, feed.history, feed.wordpress, feed.complete, None) for n, u in enumerate(feed.urls)]
-                except FeedError as e:
-                    rows.append((url, None, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+        schema = pa.schema(list(zip(names, [pa.string(), pa.int32(), *[pa.string()] * 3, *[pa.bool_()] * 2, pa.string()], strict=True)))
+        yield from gathered((found for row in rows_of(batches) for found in entries(*row)), schema)
 
     schema = "feed_url string, pos int, url string, home string, history string, wordpress boolean, complete boolean, error string"
-    return fetched.select("url", "body", "content_type").mapInPandas(run, schema)
+    return _dealt(fetched.select("url", "body", "content_type")).mapInArrow(run, schema)
 
 
 def sitemap_edges(fetched: DataFrame) -> DataFrame:
     """fetched(url, body) to sitemap_url, pos, loc, is_index, error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for url, body in batch.itertuples(index=False):
-                try:
-                    index, locs = parse_sitemap(bytes(body or b""))
-                    rows += [(url, n, loc, index, None) for n, loc in enumerate(locs)]
-                except SitemapError as e:
-                    rows.append((url, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["sitemap_url", "pos", "loc", "is_index", "error"], dtype=object)
-
-    return fetched.select("url", "body").mapInPandas(run, "sitemap_url string, pos int, loc string, is_index boolean, error string")
+    def edges(url: str, body: bytes | None) -> list[tuple]:
+        try:
+            index, locs = parse_sitemap(bytes(body or b""))
+            return [(url, n, loc, index, None) for n, loc in enumerate(locs)]
+        except SitemapError as e:
+            return [(url, None, None, None, str(e))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("sitemap_url", pa.string()), ("pos", pa.int32()), ("loc", pa.string()), ("is_index", pa.bool_()), ("error", pa.string())])
+        yield from gathered((found for row in rows_of(batches) for found in edges(*row)), schema)
+
+    return _dealt(fetched.select("url", "body")).mapInArrow(run, "sitemap_url string, pos int, loc string, is_index boolean, error string")
 
 
 def robots_sitemaps(fetched: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fernweave.operators import chunk, retrieve, schedule
-from fernweave.sources import feeds, html, tables
+from fernweave.sources import batches, feeds, html, tables
 
 
 class _Caught:
@@ -67,3 +67,23 @@ def test_json_list_reads_its_file_once(spark, tmp_path):
     found = tables.json_feed_list(spark, str(tmp_path / "list.json")).select("errors", "fetched").collect()
     assert _bytes_read(spark) - before < 10 * (tmp_path / "list.json").stat().st_size
     assert Counter(map(tuple, found)) == Counter([(max(0, n % 5 - 1), n) for n in range(4000)] + [(0, 0)] * 4 + [(10**18 - 1, 0)])
+
+
+def test_documents_of_one_task_are_dealt_out(spark):
+    """More than a task's worth of feeds and of sitemaps, all from one task."""
+    item = "<item><link>https://a.example/p</link></item>"
+    rss = [(f"https://a.example/{n}", f"<rss><channel><!--{secrets.token_hex(1 << 17)}-->{item}</channel></rss>".encode(), "application/xml") for n in range(40)]
+    maps = [(url, f"<urlset><!--{secrets.token_hex(1 << 17)}--><url><loc>{url}</loc></url></urlset>".encode()) for url, _, _ in rss]
+    for found, n in ((feeds.feed_entries(spark.createDataFrame(rss, "url string, body binary, content_type string").coalesce(1)), 40), (feeds.sitemap_edges(spark.createDataFrame(maps, "url string, body binary").coalesce(1)), 40)):
+        parts = found.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect()
+        assert len(parts) > 1 and sum(r["count"] for r in parts) == n
+
+
+def test_documents_are_parsed_in_pieces(spark):
+    body = ("<rss><channel>" + "".join(f"<item><link>https://a.example/{'p' * 100}{k}</link></item>" for k in range(300)) + "</channel></rss>").encode()
+    batch = pa.record_batch({"url": [f"https://a.example/{n}" for n in range(200)], "body": [body] * 200, "content_type": ["application/xml"] * 200})
+    got = [len(b) for b in feeds.feed_entries(_Caught())(iter([batch]))]
+    assert len(got) > 4 and sum(got) == 200 * 300
+    body = ("<urlset>" + "".join(f"<url><loc>https://a.example/{'p' * 100}{k}</loc></url>" for k in range(300)) + "</urlset>").encode()
+    got = [len(b) for b in feeds.sitemap_edges(_Caught())(iter([pa.record_batch({"url": ["u"] * 200, "body": [body] * 200})]))]
+    assert len(got) > 4 and sum(got) == 200 * 300
