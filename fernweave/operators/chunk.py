@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.config import TokenizerError
+from fernweave.sources.batches import gathered, rows_of
 
 _WORD = re.compile(r"\S+", re.ASCII)
 WINDOWS = "page_id long, chunk_no int, start_offset int, content_length int, content string"
@@ -23,13 +24,9 @@ def _windows(pages: DataFrame, offsets: Callable[[], Callable[[str], list[tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = offsets()
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        for batch in batches:
-            rows: list[tuple] = []
-            for page_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if content:
-                    rows += [(page_id, n, a, b - a, content[a:b]) for n, (a, b) in enumerate(spans_of(cut(content), size, overlap))]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "chunk_no", "start_offset", "content_length", "content"])
+        schema = pa.schema(list(zip(["page_id", "chunk_no", "start_offset", "content_length", "content"], kinds, strict=True)))
+        texts = ((page_id, content) for page_id, content in rows_of(batches) if content)
+        yield from gathered(((page_id, n, a, b - a, content[a:b]) for page_id, content in texts for n, (a, b) in enumerate(spans_of(cut(content), size, overlap))), schema)
 
     return pages.select(F.col("page_id").cast("long"), "content").mapInArrow(run, WINDOWS)
 

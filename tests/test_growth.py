@@ -87,3 +87,11 @@ def test_documents_are_parsed_in_pieces(spark):
     body = ("<urlset>" + "".join(f"<url><loc>https://a.example/{'p' * 100}{k}</loc></url>" for k in range(300)) + "</urlset>").encode()
     got = [len(b) for b in feeds.sitemap_edges(_Caught())(iter([pa.record_batch({"url": ["u"] * 200, "body": [body] * 200})]))]
     assert len(got) > 4 and sum(got) == 200 * 300
+
+
+def test_windows_are_handed_on_in_pieces(spark):
+    batch = pa.record_batch({"page_id": list(range(300)), "content": ["word " * 4000] * 299 + [None]})
+    made = chunk.word_windows(_Caught(), 64, 8)(iter([batch]))
+    sizes = [(len(b), b.nbytes) for b in made]
+    assert len(sizes) > 3 and max(n for _, n in sizes) < 4 * batches.CHARACTERS
+    assert sum(n for n, _ in sizes) == 299 * len(chunk.spans_of([(0, 1)] * 4000, 64, 8))
