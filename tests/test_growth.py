@@ -95,3 +95,20 @@ def test_windows_are_handed_on_in_pieces(spark):
     sizes = [(len(b), b.nbytes) for b in made]
     assert len(sizes) > 3 and max(n for _, n in sizes) < 4 * batches.CHARACTERS
     assert sum(n for n, _ in sizes) == 299 * len(chunk.spans_of([(0, 1)] * 4000, 64, 8))
+
+
+def test_articles_are_extracted_slice_by_slice(monkeypatch):
+    page = "<title>T{0}</title><article><p>" + "the rose " * 40 + "</p></article>"
+    given = [None if n % 7 == 0 else "<p>short" if n % 5 == 0 else page.format(n) for n in range(3 * batches.SLICE + 1)]
+    got = html.extracted.func(pa.array(given, pa.string()))
+    assert [r["title"] for r in got.to_pylist()] == [None if n % 7 == 0 or n % 5 == 0 else f"T{n}" for n in range(len(given))]
+    assert html.extracted.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_articles_are_parsed_once_and_handed_on_in_pieces(spark, monkeypatch):
+    page = "<title>T</title><article><p>" + "the rose " * 4000 + "</p></article>"
+    seen = []
+    monkeypatch.setattr(html, "extract", lambda text, found=html.extract: seen.append(text) or found(text))
+    given = [None if n % 50 == 0 else "<p>short" if n % 50 == 1 else page for n in range(200)]
+    sizes = [len(b) for b in html.article_pages(_Caught())(iter([pa.record_batch({"url": [f"u{n}" for n in range(200)], "html": given})]))]
+    assert len(sizes) > 3 and sum(sizes) == 192 and len(seen) == 196
