@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernweave.functions.text import fingerprint, poll_offset
-from fernweave.functions.url import POST_MAP, canonical, is_post_url, is_same_site, joined_url, normalized, origin, query_set
+from fernweave.functions.url import POST_MAP, canonical, is_post_url, is_same_site, joined_on_site, normalized, normalized_on_site, origin, query_set
 from fernweave.operators.queue import known_urls
 from fernweave.operators.schedule import upsert_sites
 from fernweave.sources.feeds import MAX_DEPTH, feed_entries, robots_sitemaps, sitemap_candidates, sitemap_edges, walk
@@ -49,10 +49,10 @@ def resolve_sitemaps(requests: DataFrame, fetched: DataFrame) -> DataFrame:
     told = robots_sitemaps(robots).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sitemap_url"))), lambda s: s["sitemap_url"]).alias("told"))
     auto = start.filter("mode = 'auto'").join(told.withColumnRenamed("url", "robots"), F.concat("home", F.lit("/robots.txt")) == F.col("robots"), "left")
     candidates = sitemap_candidates(F.coalesce("told", F.array().cast("array<string>")), F.col("typed"))
-    tried = auto.select("base_url", "typed", F.posexplode(candidates).alias("pos", "candidate")).withColumn("candidate", normalized("candidate"))
+    tried = auto.select("base_url", "typed", F.posexplode(candidates).alias("pos", "candidate")).select("base_url", "pos", normalized_on_site("candidate", "typed").alias("candidate"))
     usable = sitemap_edges(fetched.filter("status = 200").select("url", "body")).filter("loc IS NOT NULL").select(F.col("sitemap_url").alias("candidate")).distinct()
-    good = tried.filter(is_same_site("candidate", "typed")).join(usable, "candidate", "left_semi")
-    explicit = start.filter("mode NOT IN ('none', 'auto')").select("base_url", "typed", F.lit(0).alias("pos"), joined_url("sitemap", "typed").alias("candidate")).filter(is_same_site("candidate", "typed"))
+    good = tried.filter("candidate IS NOT NULL").join(usable, "candidate", "left_semi")
+    explicit = start.filter("mode NOT IN ('none', 'auto')").select("base_url", F.lit(0).alias("pos"), joined_on_site("sitemap", "typed").alias("candidate")).filter("candidate IS NOT NULL")
     every = good.select("base_url", "pos", "candidate").unionByName(explicit.select("base_url", "pos", "candidate"))
     return every.groupBy("base_url").agg(F.min(F.struct("pos", "candidate"))["candidate"].alias("sitemap_url"))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fernweave.operators import chunk, retrieve, schedule
+from fernweave.plans import sites
 from fernweave.sources import batches, feeds, html, tables
 
 
@@ -27,8 +28,8 @@ class _Caught:
 
 def test_scatter_of_many_sites(spark):
     n, interval = 60_000, 43_200
-    sites = spark.range(n).select("id", F.lit(None).cast("timestamp").alias("next_poll_at"))
-    placed = schedule.scatter(sites, F.lit("2024-01-15 00:00:00").cast("timestamp"), interval).select("id", F.unix_timestamp("next_poll_at").alias("at")).toPandas()
+    every = spark.range(n).select("id", F.lit(None).cast("timestamp").alias("next_poll_at"))
+    placed = schedule.scatter(every, F.lit("2024-01-15 00:00:00").cast("timestamp"), interval).select("id", F.unix_timestamp("next_poll_at").alias("at")).toPandas()
     assert placed.sort_values("id")["at"].tolist() == [1705276800 + interval * k // n for k in range(n)]
 
 
@@ -112,3 +113,14 @@ def test_articles_are_parsed_once_and_handed_on_in_pieces(spark, monkeypatch):
     given = [None if n % 50 == 0 else "<p>short" if n % 50 == 1 else page for n in range(200)]
     sizes = [len(b) for b in html.article_pages(_Caught())(iter([pa.record_batch({"url": [f"u{n}" for n in range(200)], "html": given})]))]
     assert len(sizes) > 3 and sum(sizes) == 192 and len(seen) == 196
+
+
+def test_candidates_of_a_sitemap_take_one_worker_a_task(spark):
+    requests = spark.createDataFrame([("https://a.example", "https://a.example/blog/", "auto"), ("https://b.example", "https://b.example", " https://www.b.example/m.xml#y"), ("https://c.example", "https://c.example", "https://other.example/m.xml")], "base_url string, url string, sitemap string")
+    body = "<urlset><url><loc>https://a.example/1</loc></url></urlset>"
+    told = "Sitemap: https://other.example/m.xml\nSitemap: HTTP://WWW.A.example:80/m.xml#top"
+    fetched = spark.createDataFrame([("https://a.example/robots.txt", 200, told.encode()), ("http://www.a.example/m.xml", 200, body.encode())], "url string, status int, body binary")
+    found = sites.resolve_sitemaps(requests, fetched)
+    assert {tuple(r) for r in found.collect()} == {("https://a.example", "http://www.a.example/m.xml"), ("https://b.example", "https://www.b.example/m.xml")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("normalized_on_site(") == 1 and plan.count("joined_on_site(") == 1 and "is_same_site(" not in plan
